@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import chat
+from jsonloom.llm import chat, decontaminate
 from jsonloom.llm.common import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.digests(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op6_chat(spark, sf_dir):
     return chat.digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
-QUERIES = {"op6_chat": op6_chat}
-ORACLES = {"op6_chat": chat.ORACLE}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op6_chat": op6_chat}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
