@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import chat, decontaminate
+from jsonloom.llm import chat, decontaminate, language, urls
 from jsonloom.llm.common import table
 
 
@@ -14,5 +14,14 @@ def op6_chat(spark, sf_dir):
     return chat.digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op6_chat": op6_chat}
+
+def op3_language(spark, sf_dir):
+    return language.digests(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def op8_urls(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op6_chat, op8_urls)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
