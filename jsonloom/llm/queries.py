@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import chat, decontaminate, language, urls
+from jsonloom.llm import chat, decontaminate, flac, language, urls
 from jsonloom.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op6_chat(spark, sf_dir):
 
 
 
+def op2_flac(spark, sf_dir):
+    return flac.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_language(spark, sf_dir):
     return language.digests(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
 
@@ -23,5 +27,5 @@ def op8_urls(spark, sf_dir):
     return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op6_chat, op8_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_flac, op3_language, op6_chat, op8_urls)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
