@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import chat, decontaminate, flac, language, urls
+from jsonloom.llm import chat, decontaminate, flac, language, packing, urls
 from jsonloom.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.digests(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op5_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op6_chat(spark, sf_dir):
     return chat.digests(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
 
@@ -27,5 +31,5 @@ def op8_urls(spark, sf_dir):
     return urls.judged(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_flac, op3_language, op6_chat, op8_urls)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_flac, op3_language, op5_packing, op6_chat, op8_urls)}
 ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE}
