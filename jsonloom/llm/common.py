@@ -78,31 +78,57 @@ class WordHashes(dict):
     LIMIT = 400_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
 
+    def of(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and each document's number of words."""
+        if len(self) > self.LIMIT:
+            self.clear()
+        counts = np.array([len(d) for d in documents], np.int64)
+        return np.fromiter((h for d in documents for h in map(self.__getitem__, d)), np.uint64, int(counts.sum())), counts
+
+
+#: Kept by a Python worker from task to task.
+WORD_HASHES = WordHashes()
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of two runs each, in order."""
+    out = left * np.uint64(0x9E3779B97F4A7C15) + right
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of each run of k consecutive word hashes."""
+    """A 64-bit hash of each run of k consecutive word hashes, put together from runs of powers of two."""
     n = len(words) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, k, np.uint64)
-    for j in range(k):
-        out += words[j : j + n]
-        out *= MULTIPLIER
-        out ^= out >> np.uint64(29)
-    return mixed(out)
+    power, size, done, out = words, 1, 0, np.full(n, k, np.uint64)
+    while size <= k:
+        if k & size:
+            out = joined(out, power[done : done + n])
+            done += size
+        if 2 * size <= k:
+            power = joined(power[:-size], power[size:])
+        size *= 2
+    return out
 
 
-def mixed(values: np.ndarray) -> np.ndarray:
-    """A bijective scramble, so that any bits of the result can serve as a bucket."""
-    out = values ^ (values >> np.uint64(32))
-    out *= np.uint64(0xD6E8FEB86659FD93)
-    out ^= out >> np.uint64(32)
-    return out
+def window_starts(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where in all words the windows of k words of one document start, and how many each document has."""
+    number = np.maximum(counts - k + 1, 0)
+    first = np.cumsum(counts) - counts
+    return np.arange(int(number.sum())) + np.repeat(first - (np.cumsum(number) - number), number), number
+
+
+def sliding_min(values: np.ndarray, k: int) -> np.ndarray:
+    """The least of each k consecutive values."""
+    span = 1
+    while 2 * span <= k:
+        values = np.minimum(values[:-span], values[span:])
+        span *= 2
+    return np.minimum(values[: len(values) - (k - span)], values[k - span :]) if k > span else values

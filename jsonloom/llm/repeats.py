@@ -1,0 +1,130 @@
+"""Words that repeat from a document with a smaller id: what the two substring operators share.
+
+A window is `window` consecutive words of one document. Of its runs of `anchor` words, the one with the least hash is its
+anchor (a minimiser): equal windows have equal anchors, and neighbouring windows mostly share one. Two rounds follow.
+
+1. The distinct anchors of each document are dealt by hash; an anchor that only one document has can't belong to a repeated
+   window. This leaves each document with its repeated anchors.
+2. Only windows with repeated anchors are dealt by hash, and each learns the smallest document that has it. A document gets
+   back its windows that start in a smaller document, and marks the words that they cover.
+
+What is hot: before dealing, a task puts equal anchors (windows) of a block of documents into one row with the list of these
+documents, so that a passage that a third of all documents hold is a row for each block, not for each document. Texts are
+dealt by document id once; both joins read the same exchange. Windows are compared by 64-bit hashes.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from jsonloom.llm.common import WORD_HASHES, blocks, id_text, sliding_min, texts, window_hashes, window_starts, written
+
+DEALT = "hash long, doc long, more array<long>"
+
+
+def anchors_of(hashes: np.ndarray, counts: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For all windows of a block: where they start, their document's number in the block, and their anchor's hash."""
+    start, number = window_starts(counts, window)
+    least = sliding_min(window_hashes(hashes, anchor), window - anchor + 1) if len(start) else np.empty(0, np.uint64)
+    return start, np.repeat(np.arange(len(counts)), number), least[start]
+
+
+def collapsed(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+    """A row for each hash: the smallest document that has it, and the others."""
+    order = np.lexsort((docs, hashes))
+    hashes, docs = hashes[order], docs[order]
+    new = np.r_[True, (hashes[1:] != hashes[:-1]) | (docs[1:] != docs[:-1])] if len(order) else np.zeros(0, bool)
+    hashes, docs = hashes[new], docs[new]
+    first = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
+    sizes = np.diff(np.r_[np.flatnonzero(first), len(hashes)]) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(docs[~first]), mask=pa.array(sizes == 0))
+    return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(docs[first]), more], names=["hash", "doc", "more"])
+
+
+def word_lists(rows: pa.Table, words: Callable[[bytes], list[bytes]]) -> list[list[bytes]]:
+    return [words(t) if t else [] for t in texts(rows)]
+
+
+def repeated_anchors(docs: DataFrame, words: Callable, window: int, anchor: int) -> DataFrame:
+    """(doc, hashes): for each document, its anchors that another document has too."""
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        for rows in blocks(batches):
+            hashes, counts = WORD_HASHES.of(word_lists(rows, words))
+            _, doc, least = anchors_of(hashes, counts, window, anchor)
+            changed = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
+            yield collapsed(least[changed], rows.column("doc_id").to_numpy()[doc[changed]])
+
+    dealt = docs.where("doc_id is not null").mapInArrow(deal, DEALT)
+    same = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1 or more is not null")
+    each = same.select("hash", F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc"))
+    return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+
+
+def repeated_windows(docs: DataFrame, anchors: DataFrame, words: Callable, window: int, anchor: int) -> DataFrame:
+    """(doc, hashes): for each document, its windows that start in a document with a smaller id."""
+
+    def deal(batches):
+        for rows in blocks(batches):
+            hashes, counts = WORD_HASHES.of(word_lists(rows, words))
+            start, doc, least = anchors_of(hashes, counts, window, anchor)
+            wanted = np.zeros(len(start), bool)
+            for (low, high), own in zip(bounds(doc, len(rows)), rows.column("hashes").to_numpy(), strict=True):
+                if own is not None and high > low:
+                    wanted[low:high] = np.isin(least[low:high], own.view(np.uint64))
+            found = window_hashes(hashes, window)[start[wanted]]
+            yield collapsed(found, rows.column("doc_id").to_numpy()[doc[wanted]])
+
+    joined = docs.join(anchors.withColumnRenamed("doc", "doc_id"), "doc_id").where("hashes is not null")
+    dealt = joined.mapInArrow(deal, DEALT)
+    least = dealt.withColumn("least", F.min("doc").over(Window.partitionBy("hash")))
+    repeated = F.concat(F.when(F.col("least") < F.col("doc"), F.array("doc")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
+    each = least.where("least < doc or more is not null").select("hash", F.explode(repeated).alias("doc"))
+    return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+
+
+def bounds(doc: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Where each document's windows stand."""
+    return list(zip(np.searchsorted(doc, np.arange(n)).tolist(), np.searchsorted(doc, np.arange(n), "right").tolist(), strict=True))
+
+
+def runs(mask: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.r_[0, mask.astype(np.int8), 0]))
+    return [{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def without_repeats(docs: DataFrame, words: Callable[[bytes], list[bytes]], window: int, anchor: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, the runs of words removed, and the kept words joined by one space, for each row."""
+    docs = id_text(doc_id, text, docs)
+    anchors = written(repeated_anchors(docs, words, window, anchor), "anchors")
+
+    def mark(batches):
+        for rows in blocks(batches):
+            lists = word_lists(rows, words)
+            hashes, counts = WORD_HASHES.of(lists)
+            start, number = window_starts(counts, window)
+            doc = np.repeat(np.arange(len(counts)), number)
+            found, covered = window_hashes(hashes, window)[start], np.zeros(len(hashes) + 1, np.int32)
+            for (low, high), own in zip(bounds(doc, len(rows)), rows.column("hashes").to_numpy(), strict=True):
+                if own is not None and high > low:
+                    at = start[low:high][np.isin(found[low:high], own.view(np.uint64))]
+                    covered[at] += 1
+                    covered[at + window] -= 1
+            gone, firsts = np.cumsum(covered[:-1]) > 0, (np.cumsum(counts) - counts).tolist()
+            removed, kept = [], []
+            for first, own in zip(firsts, lists, strict=True):
+                mask = gone[first : first + len(own)]
+                removed.append(runs(mask) if mask.any() else [])
+                kept.append(b" ".join([w for w, g in zip(own, mask.tolist(), strict=True) if not g] if removed[-1] else own))
+            yield pa.RecordBatch.from_arrays([
+                rows.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string()),
+            ], names=["doc_id", "n_words", "removed", "kept"])
+
+    windows = repeated_windows(docs, anchors, words, window, anchor)
+    marked = docs.join(windows.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    return marked.mapInArrow(mark, "doc_id long, n_words long, removed array<struct<start:int,length:int>>, kept string")
