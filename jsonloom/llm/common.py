@@ -132,3 +132,11 @@ def sliding_min(values: np.ndarray, k: int) -> np.ndarray:
         values = np.minimum(values[:-span], values[span:])
         span *= 2
     return np.minimum(values[: len(values) - (k - span)], values[k - span :]) if k > span else values
+
+
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A one-to-one scramble."""
+    out = values ^ (values >> np.uint64(32))
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(32)
+    return out

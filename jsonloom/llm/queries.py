@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from jsonloom.llm import chat, debruijn, decontaminate, flac, language, packing, urls
+from jsonloom.llm import chat, debruijn, decontaminate, flac, jaccard, language, packing, urls
 from jsonloom.llm.common import table
 
 
@@ -35,5 +35,9 @@ def op9_debruijn(spark, sf_dir):
     return debruijn.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_flac, op3_language, op5_packing, op6_chat, op8_urls, op9_debruijn)}
-ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_debruijn": debruijn.ORACLE}
+def op10_jaccard(spark, sf_dir):
+    return jaccard.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_flac, op3_language, op5_packing, op6_chat, op8_urls, op9_debruijn, op10_jaccard)}
+ORACLES = {"op1_decontaminate": decontaminate.ORACLE, "op6_chat": chat.ORACLE, "op9_debruijn": debruijn.ORACLE, "op10_jaccard": jaccard.ORACLE}
