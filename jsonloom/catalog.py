@@ -1,4 +1,4 @@
-"""Every query of the library with its SQL, by name."""
+"""Every query of the library with its SQL, by name. Each runs over whole tables and returns all of its result."""
 
 from __future__ import annotations
 
@@ -7,26 +7,523 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jsonloom.functions import arith, arrays, dynamic, formats, maths, objects, regex, strings, times, values
+from jsonloom.operators import groups, joins, streams, updates
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under a name, with its SQL where there is any."""
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name, with its SQL where there is any."""
 
     def register(made):
-        QUERIES[name] = made
+        QUERIES[made.__name__] = made
         if sql:
-            ORACLES[name] = sql
+            ORACLES[made.__name__] = sql
         return made
 
     return register
 
 
-@query(
-    "group_agg",
-    "SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS k FROM events GROUP BY event_type",
-)
-def group_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.from_json("props", "k bigint").getField("k").alias("k"))
-    return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def props(events: DataFrame) -> DataFrame:
+    """events with the number in their JSON properties; only the one field is parsed."""
+    return events.withColumn("k", F.from_json("props", "k bigint").getField("k"))
+
+
+# ---- projections, conditions, alternatives ----
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
+def group_agg(spark, sf):
+    return groups.group_by(props(table(spark, sf, "events")), [F.col("event_type")], n=F.count(F.lit(1)), k=F.sum("k"))
+
+
+@query("SELECT o_orderkey, o_totalprice AS total, o_orderstatus AS status FROM orders")
+def project_fields(spark, sf):
+    return updates.pick(table(spark, sf, "orders").withColumnsRenamed({"o_totalprice": "total", "o_orderstatus": "status"}), ["o_orderkey"], ["total"], ["status"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.05")
+def select_and(spark, sf):
+    return streams.select(table(spark, sf, "lineitem"), (F.col("l_quantity") > 45) & (F.col("l_discount") > 0.05)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity < 3 OR NOT (l_returnflag <> 'R') AND l_tax = 0")
+def select_or_not(spark, sf):
+    return streams.select(table(spark, sf, "lineitem"), (F.col("l_quantity") < 3) | values.negated(F.col("l_returnflag") != "R", True) & (F.col("l_tax") == 0)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.z') AS BIGINT), CAST(json_extract(props, '$.k') AS BIGINT), -1) AS v FROM events")
+def alt_default(spark, sf):
+    parsed = F.from_json("props", "z bigint, k bigint")
+    return table(spark, sf, "events").select("event_id", values.alternative(parsed["z"], parsed["k"], F.lit(-1)).alias("v"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity < 10 THEN 'small' WHEN l_quantity < 30 THEN 'middle' ELSE 'large' END AS size FROM lineitem")
+def cond_bucket(spark, sf):
+    size = F.when(F.col("l_quantity") < 10, "small").when(F.col("l_quantity") < 30, "middle").otherwise("large")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", size.alias("size"))
+
+
+@query("SELECT n.n_nationkey, n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey < r.r_regionkey")
+def theta_pairs(spark, sf):
+    return joins.nested(table(spark, sf, "nation"), table(spark, sf, "region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+# ---- arithmetic and math ----
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity + l_tax AS plus, l_quantity - l_discount AS minus, l_quantity * l_extendedprice AS times, l_extendedprice / l_quantity AS ratio, -l_quantity AS negative FROM lineitem")
+def arith_ops(spark, sf):
+    q = F.col("l_quantity")
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", arith.plus(q, F.col("l_tax")).alias("plus"), (q - F.col("l_discount")).alias("minus"), (q * F.col("l_extendedprice")).alias("times"), arith.divided(F.col("l_extendedprice"), q).alias("ratio"), (-q).alias("negative"))
+
+
+@query("SELECT c_custkey, CAST(CAST(trunc(c_acctbal) AS BIGINT) % 7 AS DOUBLE) AS m, CAST(CAST(trunc(c_acctbal) AS BIGINT) % 1000 AS DOUBLE) AS n FROM customer")
+def mod_trunc(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", arith.remainder(F.col("c_acctbal"), F.lit(-7)).alias("m"), arith.remainder(F.col("c_acctbal"), F.lit(1000.9)).alias("n"))
+
+
+@query("SELECT c_custkey, round(floor(c_acctbal / 7), 6) AS f, ceil(c_acctbal / 7) AS c, trunc(c_acctbal / 7) AS t, round(c_acctbal) AS r, round(sqrt(abs(c_acctbal)), 6) AS s, round(cbrt(c_acctbal), 6) AS b, abs(c_acctbal) AS a FROM customer")
+def rounding(spark, sf):
+    x = F.col("c_acctbal") / 7
+    return table(spark, sf, "customer").select("c_custkey", maths.unary("floor", x).alias("f"), maths.unary("ceil", x).alias("c"), maths.trunc(x).alias("t"), maths.round(F.col("c_acctbal")).alias("r"), F.round(maths.unary("sqrt", F.abs("c_acctbal")), 6).alias("s"), F.round(maths.unary("cbrt", F.col("c_acctbal")), 6).alias("b"), maths.unary("fabs", F.col("c_acctbal")).alias("a"))
+
+
+@query("""SELECT event_id, round(exp(value / 100), 6) AS e, round(ln(value + 1), 6) AS l, round(log10(value + 1), 6) AS l10, round(log2(value + 1), 6) AS l2, round(sin(value), 6) AS s, round(cos(value), 6) AS c,
+ round(atan(value), 6) AS a, round(sinh(value / 100), 5) AS sh, round(tanh(value / 100), 6) AS th FROM events WHERE value BETWEEN 0 AND 500""")
+def math_unary(spark, sf):
+    v = F.col("value")
+    shown = {"e": ("exp", v / 100), "l": ("log", v + 1), "l10": ("log10", v + 1), "l2": ("log2", v + 1), "s": ("sin", v), "c": ("cos", v), "a": ("atan", v), "sh": ("sinh", v / 100), "th": ("tanh", v / 100)}
+    return table(spark, sf, "events").where(v.between(0, 500)).select("event_id", *[F.round(maths.unary(f, x), 5 if n == "sh" else 6).alias(n) for n, (f, x) in shown.items()])
+
+
+@query("""SELECT p_partkey, round(pow(p_size, 1.5), 6) AS p, round(atan2(p_size, p_retailprice), 9) AS a, round(sqrt(p_size * p_size + p_retailprice * p_retailprice), 6) AS h, fmod(p_retailprice, p_size) AS f,
+ greatest(p_size, 20)::DOUBLE AS x, least(p_size, 20)::DOUBLE AS n, greatest(p_size - 20, 0)::DOUBLE AS d, p_size * 8.0::DOUBLE AS l FROM part""")
+def math_binary(spark, sf):
+    s, p = F.col("p_size").cast("double"), F.col("p_retailprice")
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.pow(s, F.lit(1.5)), 6).alias("p"), F.round(F.atan2(s, p), 9).alias("a"), F.round(F.hypot(s, p), 6).alias("h"), maths.fmod(p, s).alias("f"), maths.fmax(s, F.lit(20.0)).alias("x"), maths.fmin(s, F.lit(20.0)).alias("n"), maths.fdim(s, F.lit(20.0)).alias("d"), maths.ldexp(s, F.lit(3)).alias("l"))
+
+
+@query("SELECT c_custkey, c_acctbal <> 0 AS normal, floor(log2(abs(c_acctbal))) AS logb, c_acctbal - trunc(c_acctbal) AS fraction, trunc(c_acctbal) AS whole FROM customer WHERE c_acctbal <> 0")
+def math_parts(spark, sf):
+    x = F.col("c_acctbal")
+    parts = maths.modf(x)
+    return table(spark, sf, "customer").where(x != 0).select("c_custkey", maths.is_normal(x).alias("normal"), maths.logb(x).alias("logb"), parts[0].alias("fraction"), parts[1].alias("whole"))
+
+
+@query("SELECT event_id, round(gamma(value / 10 + 1), 4) AS g, round(lgamma(value / 10 + 1), 6) AS l FROM events WHERE value BETWEEN 0 AND 80")
+def math_special(spark, sf):
+    x = F.col("value") / 10 + 1
+    return table(spark, sf, "events").where(F.col("value").between(0, 80)).select("event_id", F.round(maths.special("tgamma", x), 4).alias("g"), F.round(maths.special("lgamma", x), 6).alias("l"))
+
+
+# ---- groups, order, sets ----
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(min(l_extendedprice), 2) AS low, round(max(l_extendedprice), 2) AS high FROM lineitem GROUP BY ALL")
+def group_multi_key(spark, sf):
+    return groups.group_by(table(spark, sf, "lineitem"), [F.col("l_returnflag"), F.col("l_linestatus")], n=F.count(F.lit(1)), quantity=F.round(F.sum("l_quantity"), 2), low=F.round(F.min("l_extendedprice"), 2), high=F.round(F.max("l_extendedprice"), 2))
+
+
+@query("SELECT DISTINCT p_brand, p_size FROM part")
+def unique_vals(spark, sf):
+    return groups.unique(table(spark, sf, "part"), "p_brand", "p_size")
+
+
+@query("SELECT c_mktsegment, c_custkey, c_name FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS r FROM customer) WHERE r = 1")
+def unique_by_first(spark, sf):
+    return groups.unique_by(table(spark, sf, "customer").select("c_mktsegment", "c_custkey", "c_name"), ["c_mktsegment"], ["c_custkey"])
+
+
+@query("SELECT p_brand, p_partkey AS value FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS r FROM part) WHERE r = 1")
+def min_by_first(spark, sf):
+    return groups.min_by(table(spark, sf, "part"), ["p_brand"], "p_size", ["p_partkey"], F.col("p_partkey"))
+
+
+@query("SELECT p_brand, p_partkey AS value FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey DESC) AS r FROM part) WHERE r = 1")
+def max_by_last(spark, sf):
+    return groups.max_by(table(spark, sf, "part"), ["p_brand"], "p_size", ["p_partkey"], F.col("p_partkey"))
+
+
+@query("SELECT l_orderkey, bool_or(l_discount > 0.09) AS \"any\", bool_and(l_quantity > 5) AND bool_or(l_discount > 0.09) IS NOT NULL AS every FROM lineitem GROUP BY l_orderkey")
+def any_all(spark, sf):
+    found = groups.any_all(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_discount") > 0.09).drop("all")
+    every = groups.any_all(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_quantity") > 5).select("l_orderkey", F.col("all").alias("every"))
+    return found.join(every, "l_orderkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
+def sort_topk(spark, sf):
+    return groups.sort_by(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), F.desc("o_totalprice"), "o_orderkey", top=25)
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r BETWEEN 2 AND 3")
+def limit_skip(spark, sf):
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return streams.limit(streams.skip(orders, 1.5, ["o_orderdate", "o_orderkey"], ["o_custkey"]), 1.2, ["o_orderdate", "o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 3")
+def nth_order(spark, sf):
+    return streams.nth(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), 2, ["o_orderdate", "o_orderkey"], ["o_custkey"]).select("o_custkey", "o_orderkey")
+
+
+@query("""SELECT conv_id, min(turn) AS first_turn, max(turn) AS last_turn, arg_min(role, turn) AS first_role, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id""")
+def first_last(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    head = streams.first(rows, ["turn"], ["conv_id"]).withColumnsRenamed({"turn": "first_turn", "role": "first_role"})
+    return head.join(streams.last(rows, ["turn"], ["conv_id"]).withColumnsRenamed({"turn": "last_turn", "role": "last_role"}), "conv_id")
+
+
+@query("SELECT count(*) = 0 AS empty FROM orders WHERE o_totalprice < 0")
+def is_empty(spark, sf):
+    return streams.is_empty(table(spark, sf, "orders").where("o_totalprice < 0"))
+
+
+@query("SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def minus_keys(spark, sf):
+    return joins.minus(table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), ["k"])
+
+
+@query("SELECT s_suppkey AS key, s_name AS name, 0 AS part FROM supplier UNION ALL SELECT c_custkey, c_name, 1 FROM customer")
+def union_parts(spark, sf):
+    return streams.union_all(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name")), table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name")))
+
+
+# ---- generators ----
+
+
+@query("SELECT p_partkey, 0 AS at, p_name AS value FROM part UNION ALL SELECT p_partkey, 1, p_brand FROM part UNION ALL SELECT p_partkey, 2, p_type FROM part")
+def comma_outputs(spark, sf):
+    return streams.comma(table(spark, sf, "part"), [F.col("p_name"), F.col("p_brand"), F.col("p_type")]).select("p_partkey", "at", "value")
+
+
+@query("SELECT p_partkey, CAST(unnest(range(p_size % 5)) AS INTEGER) AS value FROM part")
+def range_explode(spark, sf):
+    return streams.ranges(table(spark, sf, "part").select("p_partkey", "p_size"), F.col("p_size") % 5).select("p_partkey", "value")
+
+
+@query("SELECT label, CAST(\"at\" AS INTEGER) AS \"at\", count(*) AS n, round(sum(value), 3) AS total FROM (SELECT label, unnest(range(len(embedding))) AS \"at\", CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings) GROUP BY ALL")
+def each_element(spark, sf):
+    rows = streams.each(table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding")), "embedding")
+    return rows.groupBy("label", "at").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 3).alias("total"))
+
+
+@query("SELECT a.r_name || '-' || b.n_name AS pair FROM region a, nation b")
+def combinations_pairs(spark, sf):
+    return streams.product(table(spark, sf, "region").select("r_name"), table(spark, sf, "nation").select("n_name")).select(F.concat_ws("-", "r_name", "n_name").alias("pair"))
+
+
+@query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles FROM conversations GROUP BY conv_id")
+def collect_ordered(spark, sf):
+    rows = streams.collected(table(spark, sf, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"], "role")
+    return rows.select("conv_id", F.array_join("values", ",").alias("roles"))
+
+
+@query("SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY o_custkey")
+def reduce_sum(spark, sf):
+    return streams.reduce(table(spark, sf, "orders"), ["o_custkey"], n=F.count(F.lit(1)), total=F.round(F.sum("o_totalprice"), 2))
+
+
+@query("SELECT o_custkey, o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, max(o_totalprice) OVER w AS most FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING)")
+def foreach_running(spark, sf):
+    rows = streams.foreach(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], ["o_custkey"], total=F.sum("o_totalprice"), most=F.max("o_totalprice"))
+    return rows.select("o_custkey", "o_orderkey", F.round("total", 2).alias("total"), "most")
+
+
+@query("""SELECT p_partkey, level, CAST(value AS BIGINT) AS value FROM (
+ SELECT p_partkey, 0 AS level, p_size AS value FROM part UNION ALL SELECT p_partkey, 1, p_size * 2 FROM part WHERE p_size * 2 < 50
+ UNION ALL SELECT p_partkey, 2, p_size * 4 FROM part WHERE p_size * 4 < 50 UNION ALL SELECT p_partkey, 3, p_size * 8 FROM part WHERE p_size * 8 < 50)""")
+def recurse_double(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("value"))
+    return streams.recurse(rows, "value", lambda v: v * 2, 3, lambda v: v < 50).select("p_partkey", "level", "value")
+
+
+@query("SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS value FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey")
+def alternative_stream(spark, sf):
+    big = table(spark, sf, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderkey").alias("value"))
+    none = table(spark, sf, "customer").select("c_custkey", F.lit(-1).cast("bigint").alias("value"))
+    return streams.alternative(big, none, ["c_custkey"], "value")
+
+
+# ---- lookups ----
+
+
+@query("SELECT o.o_orderkey, c.c_name AS name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
+def index_join(spark, sf):
+    known = joins.index(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("c_custkey"), ["c_custkey"])
+    return joins.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, F.col("o_custkey")).select("o_orderkey", F.col("row.c_name").alias("name"))
+
+
+@query("SELECT l_orderkey, max_by(l_linenumber, l_linenumber) AS line, count(*) > 0 AS some FROM lineitem GROUP BY l_orderkey")
+def index_last(spark, sf):
+    known = joins.index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), F.col("l_orderkey"), ["l_linenumber"])
+    return known.select(F.col("key").alias("l_orderkey"), F.col("row.l_linenumber").alias("line"), F.lit(True).alias("some"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
+def semi_in(spark, sf):
+    rich = table(spark, sf, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey"))
+    return joins.is_in(table(spark, sf, "supplier"), rich, "s_nationkey").select("s_suppkey", "s_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_in(spark, sf):
+    done = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.not_in(table(spark, sf, "customer"), done, "c_custkey").select("c_custkey", "c_name")
+
+
+@query("SELECT n_nationkey, n_nationkey IN (SELECT s_nationkey FROM supplier) AS found FROM nation")
+def flag_in(spark, sf):
+    return joins.flagged(table(spark, sf, "nation").select("n_nationkey"), table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey")), "n_nationkey")
+
+
+# ---- arrays ----
+
+
+@query("""SELECT vec_id, round(list_sum(e), 4) AS total, len(e) AS n, e[1] AS head, e[-1] AS tail, round(list_sum(e[2:4]), 4) AS slice, list_min(e) AS low, list_max(e) AS high,
+ len(list_filter(e, lambda x: x > 0)) AS positive, list_bool_or(list_transform(e, lambda x: x > 2)) AS "any", list_bool_and(list_transform(e, lambda x: x < 3)) AS every FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
+def array_reads(spark, sf):
+    e = F.col("e")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    return rows.select(
+        "vec_id", F.round(arrays.added(e), 4).alias("total"), F.size(e).cast("bigint").alias("n"), arrays.first(e).alias("head"), arrays.at(e, -1).alias("tail"), F.round(arrays.added(arrays.cut(e, 1.9, 3.2)), 4).alias("slice"),
+        arrays.min_by(e).alias("low"), arrays.max_by(e).alias("high"), F.size(arrays.selected(e, lambda x: x > 0)).cast("bigint").alias("positive"), arrays.any_of(e, lambda x: x > 2).alias("any"), arrays.all_of(e, lambda x: x < 3).alias("every"),
+    )
+
+
+@query("""SELECT p_partkey, array_to_string(list_sort(list_distinct(string_split(p_name, ' '))), ',') AS sorted, array_to_string(list_reverse(string_split(p_name, ' ')), ',') AS reversed,
+ array_to_string(list_filter(string_split(p_name, ' '), lambda x: x <> string_split(p_name, ' ')[1]), ',') AS minus, list_position(string_split(p_name, ' '), string_split(p_name, ' ')[-1]) - 1 AS place FROM part""")
+def array_sets(spark, sf):
+    words = strings.split(F.col("p_name"), " ")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(arrays.unique_by(words), ",").alias("sorted"), F.array_join(arrays.reversed_(words), ",").alias("reversed"), F.array_join(arith.without(words, F.array(words[0])), ",").alias("minus"), arrays.first(arrays.indices(words, arrays.at(words, -1))).alias("place"))
+
+
+@query("SELECT vec_id, array_to_string(list_transform(range(4), lambda i: CAST(label + i AS VARCHAR) || '/' || CAST(i AS VARCHAR)), ' ') AS columns, CAST(label * 2 + 6 AS INTEGER) AS flat FROM embeddings")
+def flatten_transpose(spark, sf):
+    rows = F.array(F.transform(arrays.places(F.lit(4)), lambda i: (F.col("label") + i).cast("string")), F.transform(arrays.places(F.lit(4)), lambda i: i.cast("string")))
+    columns = F.array_join(F.transform(arrays.transposed(rows), lambda c: F.array_join(c, "/")), " ")
+    flat = F.aggregate(arrays.flattened(F.array(F.array(F.col("label"), F.lit(1)), F.array(F.lit(2), F.lit(3)), F.array(F.col("label")))), F.lit(0), lambda s, x: s + x)
+    return table(spark, sf, "embeddings").select("vec_id", columns.alias("columns"), flat.alias("flat"))
+
+
+@query("SELECT vec_id, label // 3 AS found, CASE WHEN label % 3 = 0 THEN label // 3 ELSE -2 - label // 3 END AS place FROM embeddings")
+def binary_search(spark, sf):
+    steps = F.transform(arrays.places(F.lit(100)), lambda i: i * 3)
+    label = F.col("label")
+    return table(spark, sf, "embeddings").select("vec_id", F.floor(label / 3).cast("int").alias("found"), arrays.bsearch(steps, label).alias("place"))
+
+
+@query("SELECT p_partkey, p_size * (p_size - 1) // 2 AS total, list_aggregate(list_transform(range(p_size), lambda i: i * i), 'sum')::BIGINT AS squares FROM part WHERE p_size > 0")
+def array_reduce(spark, sf):
+    numbers = arrays.places(F.col("p_size"))
+    total = arrays.reduced(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x)
+    return table(spark, sf, "part").where("p_size > 0").select("p_partkey", total.cast("int").alias("total"), arrays.reduced(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint") * x).alias("squares"))
+
+
+@query("""SELECT p_partkey, array_to_string([w[1] || '+' || y, w[1] || '-' || y, w[2] || '+' || y, w[2] || '-' || y], ' ') AS ways FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, p_brand AS y FROM part)""")
+def array_combinations(spark, sf):
+    words = strings.split(F.col("p_name"), " ")
+    ways = arrays.combinations([arrays.cut(words, 0, 2), F.array(F.lit("+"), F.lit("-")), F.array("p_brand")])
+    return table(spark, sf, "part").select("p_partkey", F.array_join(F.transform(ways, lambda w: F.array_join(F.transform(w, lambda x: F.coalesce(x, F.lit(""))), "")), " ").alias("ways"))
+
+
+# ---- objects and JSON ----
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.k') AS text, json_extract(props, '$.a.b') IS NULL AS missing FROM events")
+def json_parse_path(spark, sf):
+    parsed = F.parse_json("props")
+    return table(spark, sf, "events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"), F.try_variant_get(parsed, "$.k", "string").alias("text"), F.try_variant_get(parsed, "$.a.b", "string").isNull().alias("missing"))
+
+
+@query("SELECT event_id, array_to_string(json_keys(props), ',') AS keys, 'object' AS kind FROM events")
+def json_keys(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.array_join(F.json_object_keys("props"), ",").alias("keys"), values.variant_kind(F.parse_json("props")).alias("kind"))
+
+
+@query("""SELECT c_custkey, 0 AS at, 'name' AS key, c_name AS value FROM customer UNION ALL SELECT c_custkey, 1, 'segment', lower(c_mktsegment) FROM customer""")
+def entries_pivot(spark, sf):
+    entries = F.create_map(F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
+    rows = table(spark, sf, "customer").select("c_custkey", objects.with_entries(entries, lambda e: F.struct(e["key"].alias("key"), F.when(e["key"] == "segment", F.lower(e["value"])).otherwise(e["value"]).alias("value"))).alias("m"))
+    return streams.each(rows, "m")
+
+
+@query("SELECT c_custkey, 'b=2,a=' || c_nationkey || ',c=3' AS merged, 'a,b,c' AS sorted, true AS has_a, 'c=3' AS picked FROM customer")
+def object_merge(spark, sf):
+    left, right = F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.col("c_nationkey").cast("string")), F.create_map(F.lit("b"), F.lit("2"), F.lit("c"), F.lit("3"))
+    m = arith.merged(left, right)
+    shown = lambda x: F.array_join(F.transform(objects.to_entries(x), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return table(spark, sf, "customer").select("c_custkey", shown(m).alias("merged"), F.array_join(objects.keys(m), ",").alias("sorted"), objects.has(m, "a").alias("has_a"), shown(objects.deleted(objects.picked(m, "a", "c"), "a")).alias("picked"))
+
+
+@query("SELECT o_orderkey, round(o_totalprice * 2, 2) AS price, coalesce(nullif(o_orderpriority, '5-LOW'), 'none') AS priority FROM orders")
+def update_field(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("price"), F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority")).alias("o"))
+    rows = updates.default(updates.update(rows, ["o", "price"], lambda x: F.round(x * 2, 2)), ["o", "priority"], F.lit("none"))
+    return rows.select("o_orderkey", "o.price", "o.priority")
+
+
+@query("SELECT s_suppkey, s_name AS name, CAST(s_nationkey + 1 AS INTEGER) AS nation FROM supplier")
+def delete_field(spark, sf):
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.struct(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation")).alias("s"))
+    return updates.plus_assign(updates.delete(rows, ["s", "balance"]), ["s", "nation"], F.lit(1)).select("s_suppkey", "s.*")
+
+
+@query("SELECT event_id, '[\"k\"]' AS paths, '[[\"k\"],' || json_extract_string(props, '$.k') || ']|[[\"k\"]]' AS events, 1::BIGINT AS leaves FROM events")
+def json_stream(spark, sf):
+    stream = dynamic.tostream(F.col("props"))
+    return table(spark, sf, "events").select("event_id", F.array_join(dynamic.paths(F.col("props")), "|").alias("paths"), F.array_join(stream, "|").alias("events"), dynamic.leaf_count(F.col("props")).alias("leaves"))
+
+
+@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS back FROM events")
+def json_from_stream(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.array_join(dynamic.fromstream(dynamic.tostream(F.col("props"))), "").alias("back"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 4 = 2 THEN 3 ELSE 4 END AS kind, row_number() OVER (ORDER BY CASE WHEN event_id % 4 = 0 THEN 0 WHEN event_id % 4 = 1 THEN 1 WHEN event_id % 4 = 2 THEN 3 ELSE 4 END, CASE WHEN event_id % 4 = 2 THEN value END NULLS FIRST, CASE WHEN event_id % 4 = 3 THEN event_type END NULLS FIRST, event_id) <= 500 AS low FROM events QUALIFY low")
+def total_order_sort(spark, sf):
+    part = F.col("event_id") % 4
+    key = values.mixed_key(F.when(part == 2, F.col("value")), F.when(part == 3, F.col("event_type")), F.when(part == 1, F.lit(False)))
+    rows = table(spark, sf, "events").select("event_id", key.alias("key"))
+    return groups.sort_by(rows, "key", "event_id", top=500).select("event_id", "key.kind", F.lit(True).alias("low"))
+
+
+# ---- strings, formats, regular expressions ----
+
+
+@query("SELECT c_custkey, lower(c_name) AS down, upper(c_mktsegment) AS up, CASE WHEN starts_with(c_name, 'Customer#') THEN substr(c_name, 10) ELSE c_name END AS bare, length(c_name) AS n, strlen(c_name) AS bytes, c_name LIKE '%9' AS nine FROM customer")
+def string_case(spark, sf):
+    n = F.col("c_name")
+    return table(spark, sf, "customer").select("c_custkey", strings.ascii_downcase(n).alias("down"), strings.ascii_upcase(F.col("c_mktsegment")).alias("up"), strings.ltrimstr(n, "Customer#").alias("bare"), F.length(n).cast("bigint").alias("n"), strings.byte_length(n).cast("bigint").alias("bytes"), n.endswith("9").alias("nine"))
+
+
+@query("SELECT page_id, array_to_string(string_split(url, '/')[3:4], '|') AS parts, len(string_split(url, '/')) AS n, array_to_string(string_split(url, '/'), '/') = url AS whole FROM pages")
+def split_join(spark, sf):
+    parts = strings.split(F.col("url"), "/")
+    return table(spark, sf, "pages").select("page_id", strings.join(arrays.cut(parts, 2, 4), "|").alias("parts"), F.size(parts).cast("bigint").alias("n"), (strings.join(parts, "/") == F.col("url")).alias("whole"))
+
+
+@query("SELECT page_id, strpos(url, 'example') - 1 AS at, length(url) - strpos(reverse(url), '/') AS slash, CASE WHEN length(url) >= 2 THEN len(list_filter(range(length(url) - 1), lambda i: substr(url, i + 1, 2) = '//')) ELSE 0 END AS doubles FROM pages")
+def indices_str(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", strings.index(u, "example").cast("bigint").alias("at"), strings.rindex(u, "/").cast("bigint").alias("slash"), F.size(strings.indices(u, "//")).cast("bigint").alias("doubles"))
+
+
+@query("SELECT n_nationkey, list_sum(list_transform(string_split(n_name, ''), lambda c: unicode(c)))::BIGINT AS points, n_name AS back, n_name[2:3] AS middle FROM nation")
+def explode_cp(spark, sf):
+    n = F.col("n_name")
+    return table(spark, sf, "nation").select("n_nationkey", F.aggregate(strings.explode(n), F.lit(0).cast("bigint"), lambda s, x: s + x).alias("points"), strings.implode(strings.explode(n)).alias("back"), strings.slice(n, 1, 3).alias("middle"))
+
+
+@query("SELECT s_suppkey, s_suppkey || ',\"' || replace(s_name, '\"', '\"\"') || '\",' || s_nationkey AS line FROM supplier")
+def fmt_csv(spark, sf):
+    return table(spark, sf, "supplier").select("s_suppkey", formats.csv([(F.col("s_suppkey"), "number"), (F.col("s_name"), "string"), (F.col("s_nationkey"), "number")]).alias("line"))
+
+
+@query(r"SELECT doc_id, replace(replace(replace(replace(text, '\', '\\'), chr(9), '\t'), chr(13), '\r'), chr(10), '\n') || chr(9) || source AS line FROM documents")
+def fmt_tsv(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", formats.tsv([(F.col("text"), "string"), (F.col("source"), "string")]).alias("line"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&apos;'), '\"', '&quot;') AS text FROM pages")
+def fmt_html(spark, sf):
+    return table(spark, sf, "pages").select("page_id", formats.html(F.col("html")).alias("text"))
+
+
+@query("SELECT page_id, url_encode(url) AS encoded, url AS decoded FROM pages")
+def fmt_uri(spark, sf):
+    encoded = formats.uri(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", encoded.alias("encoded"), formats.urid(encoded).alias("decoded"))
+
+
+@query("SELECT doc_id, to_base64(encode(text)) AS encoded, text AS decoded FROM documents")
+def fmt_base64(spark, sf):
+    encoded = formats.base64(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", encoded.alias("encoded"), formats.base64d(encoded).alias("decoded"))
+
+
+@query("SELECT c_custkey, '''' || replace(c_name, '''', '''\\''''') || ''' ''' || c_mktsegment || '''' AS line FROM customer")
+def fmt_sh(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", formats.shell_line(F.array("c_name", "c_mktsegment")).alias("line"))
+
+
+@query("SELECT c_custkey, 'id ' || c_custkey || ' <' || replace(c_name, '#', '&#') || '>' AS line FROM customer")
+def interpolation(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", formats.interpolated(["id ", values.number_text(F.col("c_custkey")), " <", F.replace(F.col("c_name"), F.lit("#"), F.lit("&#")), ">"]).alias("line"))
+
+
+@query("SELECT doc_id, regexp_matches(text, '[0-9]{3}-[0-9]{4}') AS phone, regexp_matches(text, '(?i)LICENSED') AS license FROM documents")
+def regex_test(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", regex.test(F.col("text"), "[0-9]{3}-[0-9]{4}").alias("phone"), regex.test(F.col("text"), "LICENSED", "i").alias("license"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^(\\w+)://([^/]+)', 1) AS scheme, regexp_extract(url, '^(\\w+)://([^/]+)', 2) AS host FROM pages")
+def regex_capture(spark, sf):
+    return table(spark, sf, "pages").select("page_id", regex.capture(F.col("url"), r"^(?<scheme>\w+)://(?<host>[^/]+)").alias("m")).select("page_id", "m.scheme", "m.host")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '[0-9]+')) AS numbers, coalesce(array_to_string(regexp_extract_all(text, '[0-9]+'), ','), '') AS found FROM documents")
+def regex_scan(spark, sf):
+    found = regex.scan(F.col("text"), "[0-9]+")
+    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("bigint").alias("numbers"), F.array_join(found, ",").alias("found"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '([0-9])([0-9])', '\\2\\1', 'g') AS swapped, regexp_replace(text, '[aeiou]', '_') AS first FROM documents")
+def regex_gsub(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", regex.gsub(t, "(?<a>[0-9])(?<b>[0-9])", "{b}{a}").alias("swapped"), regex.sub(t, "[aeiou]", "_").alias("first"))
+
+
+@query("SELECT doc_id, len(regexp_split_to_array(text, '[ ,.]+')) AS parts FROM documents")
+def regex_split(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.size(regex.splits(F.col("text"), "[ ,.]+")).cast("bigint").alias("parts"))
+
+
+@query("SELECT page_id, strpos(url, 'example') - 1 AS at, 7 AS n FROM pages")
+def regex_match(spark, sf):
+    m = arrays.first(regex.match(F.col("url"), "example"))
+    return table(spark, sf, "pages").select("page_id", m["offset"].cast("bigint").alias("at"), m["length"].alias("n"))
+
+
+# ---- time ----
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS iso, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events")
+def time_iso(spark, sf):
+    seconds = times.seconds(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", times.todate(seconds).alias("iso"), times.fromdate(times.todate(seconds)).alias("s"))
+
+
+@query("""SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) - 1 AS INTEGER) AS m, CAST(day(o_orderdate) AS INTEGER) AS d, CAST(hour(o_orderdate) AS INTEGER) AS h,
+ CAST(dayofweek(o_orderdate) AS INTEGER) AS w, CAST(dayofyear(o_orderdate) - 1 AS INTEGER) AS j, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS back FROM orders""")
+def gmtime_fields(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderkey", times.gmtime(times.seconds(F.col("o_orderdate"))).alias("b"))
+    at = lambda i: F.col("b")[i].cast("int")
+    return rows.select("o_orderkey", at(0).alias("y"), at(1).alias("m"), at(2).alias("d"), at(3).alias("h"), at(6).alias("w"), at(7).alias("j"), times.mktime(F.col("b")).alias("back"))
+
+
+@query("SELECT event_id, strftime(ts, '%A %d %B %Y, %I:%M %p, day %j') AS text, strftime(ts, '%y/%m/%d') AS short FROM events")
+def time_format(spark, sf):
+    s = times.seconds(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", times.strftime(s, "%A %d %B %Y, %I:%M %p, day %j").alias("text"), times.strftime(s, "%y/%m/%d").alias("short"))
+
+
+# ---- conversions ----
+
+
+@query("SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS number, CAST(c_custkey AS DOUBLE) AS back, c_nationkey = 3 AS flag FROM customer")
+def conversions(spark, sf):
+    text = values.number_text(F.col("c_custkey"))
+    return table(spark, sf, "customer").select("c_custkey", text.alias("number"), strings.to_number(text).alias("back"), strings.to_boolean((F.col("c_nationkey") == 3).cast("string")).alias("flag"))
+
+
+@query("SELECT label, CAST(count(*) AS BIGINT) AS n, max(vec_id) AS last FROM embeddings GROUP BY label")
+def input_slurp(spark, sf):
+    return streams.reduce(table(spark, sf, "embeddings"), ["label"], n=F.count(F.lit(1)), last=F.max("vec_id"))
