@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,25 +71,66 @@ def texts(block: pa.Table, column: str = "text") -> list[bytes | None]:
     return block.column(column).cast(pa.binary()).to_pylist()
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for the words seen last."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all words, and each document's number of words."""
-        if len(self) > self.LIMIT:
-            self.clear()
-        counts = np.array([len(d) for d in documents], np.int64)
-        return np.fromiter((h for d in documents for h in map(self.__getitem__, d)), np.uint64, int(counts.sum())), counts
-
-
-#: Kept by a Python worker from task to task.
-WORD_HASHES = WordHashes()
+class Words:
+    """Cuts texts into words, the runs of bytes that are no separators, and hashes them without a loop over words.
+
+    A word's hash is a polynomial in 2**64 over a random value for each byte: a difference of running sums, scrambled."""
+
+    PIECE = 1 << 20
+    FACTOR = 0x5851F42D4C957F2D
+
+    def __init__(self, separators: bytes, lower: bool = False):
+        self.word = np.ones(256, bool)
+        self.word[list(separators)] = False
+        self.value = np.random.default_rng(20).integers(1, 1 << 64, 256, np.uint64)
+        if lower:
+            self.value[0x41:0x5B] = self.value[0x61:0x7B]
+        self.value[~self.word] = 0
+        self.lower, self.power, self.inverse = lower, np.empty(0, np.uint64), np.empty(0, np.uint64)
+
+    def __getstate__(self):
+        return {"word": self.word, "value": self.value, "lower": self.lower, "power": np.empty(0, np.uint64), "inverse": np.empty(0, np.uint64)}
+
+    def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends."""
+        edges = np.flatnonzero(np.diff(self.word[data].view(np.int8), prepend=np.int8(0), append=np.int8(0)))
+        return edges[::2], edges[1::2]
+
+    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out, at = np.empty(len(start), np.uint64), 0
+        while at < len(start):
+            # words that start in the next piece; the last may reach beyond it
+            to = max(at + 1, int(np.searchsorted(start, start[at] + self.PIECE)))
+            low, high = int(start[at]), int(end[to - 1])
+            if high - low > len(self.power):
+                n = max(high - low, self.PIECE + 256)
+                self.power = np.cumprod(np.full(n, self.FACTOR, np.uint64))
+                self.inverse = np.cumprod(np.full(n, pow(self.FACTOR, -1, 1 << 64), np.uint64))
+            sums = np.empty(high - low + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum(self.value[data[low:high]] * self.power[: high - low], out=sums[1:])
+            s, e = start[at:to] - low, end[at:to] - low
+            out[at:to] = mixed((sums[e] - sums[s]) * self.inverse[s])
+            at = to
+        return out
+
+    def of(self, texts_: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of all words, and each text's number of words."""
+        hashes, counts, _, _, _ = self.cut(texts_)
+        return hashes, counts
+
+    def cut(self, texts_: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """Also where the words start and end in all texts, which are put together with a space behind each."""
+        joined_ = b" ".join([t or b"" for t in texts_] + [b""])
+        data = np.frombuffer(joined_, np.uint8)
+        start, end = self.spans(data)
+        ends = np.cumsum([len(t or b"") + 1 for t in texts_], dtype=np.int64)
+        return self.hashes(data, start, end), np.diff(np.searchsorted(start, np.r_[0, ends])), start, end, joined_
+
+
+#: Words between ASCII white space, as they are or with ASCII letters lower-cased.
+WHITE = b"\t\n\x0b\x0c\r "
+PLAIN, LOWERED = Words(WHITE), Words(WHITE, True)
 
 
 def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:

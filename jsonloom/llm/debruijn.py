@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.llm.common import PLAIN
 from jsonloom.llm.repeats import without_repeats
 
 WINDOW, ANCHOR = 13, 5
@@ -22,7 +23,7 @@ WINDOW, ANCHOR = 13, 5
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, removed (runs of words) and kept (the other words, joined by one space) of each row."""
-    return without_repeats(docs, bytes.split, window, anchor, doc_id, text)
+    return without_repeats(docs, PLAIN, window, anchor, doc_id, text)
 
 
 def digests(documents: DataFrame) -> DataFrame:

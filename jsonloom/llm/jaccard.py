@@ -22,14 +22,13 @@ what any of them is linked with. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import WORD_HASHES, blocks, id_text, joined, mixed, texts, window_hashes, window_starts, written
+from jsonloom.llm.common import LOWERED, Words, blocks, id_text, joined, mixed, texts, window_hashes, window_starts, written
 
 #: Shingle length, and similarity as a fraction.
 SHINGLE, SIMILARITY = 4, (85, 100)
@@ -37,16 +36,10 @@ BAND, SLACK = 1.3, 0.16
 BITS = 2048
 #: Ids that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 2_000_000
-LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
-
-def lower_words(text: bytes) -> list[bytes]:
-    return text.translate(LOWER).split()
-
-
-def shingle_sets(rows: list[bytes | None], words: Callable[[bytes], list[bytes]], k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(rows: list[bytes | None], words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all documents, one after the other, and their numbers."""
-    hashes, counts = WORD_HASHES.of([words(t) if t else [] for t in rows])
+    hashes, counts = words.of(rows)
     start, number = window_starts(counts, k)
     all_ = window_hashes(hashes, k)[start]
     sets, at, first = [], 0, 0
@@ -129,7 +122,7 @@ def parity_bits(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
 class Join:
     """One run over a table of documents: its sizes and sketches, its buckets, and the components found so far."""
 
-    def __init__(self, docs: DataFrame, words: Callable, k: int, similarity: tuple[int, int]):
+    def __init__(self, docs: DataFrame, words: Words, k: int, similarity: tuple[int, int]):
         self.docs, self.words, self.k, self.similarity = docs, words, k, similarity
         self.all = written(self._sizes(), "sizes")
         known = self.all.where("doc is not null and n > 0")
@@ -267,14 +260,14 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("b").alias("doc"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("doc"), F.col("a").alias("component")).distinct())
 
 
-def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, words: Callable[[bytes], list[bytes]] = lower_words) -> DataFrame:
+def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, words: Words = LOWERED) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     join = Join(id_text(doc_id, text, docs), words, k, similarity)
     labels = join.first.join(join.components().withColumnRenamed("doc", "first"), "first", "left").select("doc", F.coalesce("component", "first").alias("component"))
     return join.all.select("doc", "n").join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
-def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100), words: Callable[[bytes], list[bytes]] = lower_words) -> DataFrame:
+def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100), words: Words = LOWERED) -> DataFrame:
     """(doc_id): the documents that are not the smallest of their component; all others stay."""
     return linked(docs, doc_id, text, k, similarity, words).where("doc_id <> component_id").select("doc_id").distinct()
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import blocks, texts, written
+from jsonloom.llm.common import LOWERED, PLAIN, blocks, texts, written
 
 LIMIT = 2048
 END = 0
@@ -43,50 +43,92 @@ def default_tokenizer() -> str:
 
 
 class Lexicon:
-    """Ids of words, by number; encoded in batches when they are first met."""
+    """Ids of words, by number; new words are encoded in batches. Number 0 stands for a document's end.
+
+    Letter case and a full stop or comma behind a letter or digit don't matter to the tokenizer's words, so a word is looked
+    up without them; the stop is a word of its own. A document with a special token's mark keeps its case."""
+
+    BETWEEN = 1
+    WORDS_AT_ONCE = 2000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.between = self._encoded([chr(self.BETWEEN)])
         self._empty()
 
     def _empty(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids, self.start, self.length, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
-
-    def _add(self, new: list[bytes]) -> None:
-        for at in range(0, len(new), 20_000):
-            words = new[at : at + 20_000]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-            n, sizes = len(self.number), np.array([len(x) for x in found], np.int64)
-            while n + len(words) > len(self.start):
-                self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-            while self.used + int(sizes.sum()) > len(self.ids):
-                self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.start[n : n + len(words)] = self.used + np.cumsum(sizes) - sizes
-            self.length[n : n + len(words)] = sizes
-            flat = [i for x in found for i in x]
-            self.ids[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
-            self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        self.hash, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.ids, self.start, self.length = np.full(1, END, np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
+
+    def _encoded(self, texts_: list[str]) -> list[int]:
+        return [i for x in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False) for i in x.ids]
+
+    def _new(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and counts of some words, which are encoded together with a mark behind each."""
+        sizes = end - start
+        ends = np.cumsum(sizes + 3)
+        put = np.full(int(ends[-1]), 0x20, np.uint8)
+        put[ends - 2] = self.BETWEEN
+        inner = np.arange(int(sizes.sum()))
+        first = np.cumsum(sizes) - sizes
+        put[inner + np.repeat(ends - sizes - 3 - first, sizes)] = data[inner + np.repeat(start - first, sizes)]
+        borders = [0, *ends[self.WORDS_AT_ONCE - 1 : -1 : self.WORDS_AT_ONCE].tolist(), len(put)]
+        if len(self.between) == 1:
+            flat = np.array(self._encoded([put[a:b].tobytes().decode() for a, b in zip(borders, borders[1:], strict=False)]), np.uint32)
+            at = np.flatnonzero(flat == self.between[0])
+            if len(at) == len(start) == int((put == self.BETWEEN).sum()):
+                return flat[flat != self.between[0]], np.diff(np.r_[-1, at]) - 1
+        each = [self._encoded([data[a:b].tobytes().decode()]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+        return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
 
     def encode(self, documents: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents, each with END behind it, and each document's count."""
-        if len(self.number) > KEPT_WORDS:
+        if len(self.hash) > KEPT_WORDS:
             self._empty()
-        words = [d.split() for d in documents]
-        number = self.number
-        self._add(list({w for d in words for w in d if w not in number}))
-        at = np.fromiter((number[w] for d in words for w in d), np.int64, sum(map(len, words)))
-        sizes = self.length[at]
-        ends = np.cumsum(np.array([len(d) for d in words], np.int64))
-        total = np.r_[0, np.cumsum(sizes)]
-        counts = total[ends] - total[np.r_[0, ends[:-1]]] if len(ends) else np.zeros(0, np.int64)
-        flat = self.ids[np.arange(int(total[-1])) + np.repeat(self.start[at] - total[:-1], sizes)]
-        out = np.full(len(flat) + len(documents), END, np.uint32)
-        out[np.arange(len(flat)) + np.repeat(np.arange(len(documents)), counts)] = flat
-        return out, counts + 1
+        joined = b" ".join([*documents, b""])
+        data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(d) + 1 for d in documents], dtype=np.int64)
+        cut = PLAIN if b"<|" in joined else LOWERED
+        start, end = cut.spans(data)
+        if len(start):
+            stopped = np.flatnonzero(STOP[data[end - 1]] & (end - start > 1) & ALNUM[data[np.maximum(end - 2, 0)]])
+            start, end = _split(start, end, stopped)
+        hashes, counts = cut.hashes(data, start, end), np.diff(np.searchsorted(start, np.r_[0, ends]))
+        # the distinct words of these documents, where each first stands, and their numbers
+        distinct, first, same = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
+        new = self.hash[at] != distinct if len(self.hash) else np.ones(len(distinct), bool)
+        number = np.where(new, 0, self.number[at] if len(self.hash) else 0).astype(np.int32)
+        if new.any():
+            number[new] = len(self.start) + np.arange(int(new.sum()))
+            flat, sizes = self._new(data, start[first[new]], end[first[new]])
+            self.start = np.r_[self.start, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)]
+            self.length = np.r_[self.length, sizes.astype(np.int32)]
+            self.ids = np.concatenate([self.ids, flat])
+            self.hash, self.number = np.concatenate([self.hash, distinct[new]]), np.concatenate([self.number, number[new]])
+            order = np.argsort(self.hash)
+            self.hash, self.number = self.hash[order], self.number[order]
+        words = np.zeros(len(hashes) + len(documents), np.int32)
+        words[np.arange(len(hashes)) + np.repeat(np.arange(len(documents)), counts)] = number[same]
+        sizes = self.length[words]
+        total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+        ids = self.ids[np.arange(int(total[-1])) + np.repeat(self.start[words] - total[:-1], sizes)]
+        return ids, np.diff(total[np.r_[0, np.cumsum(counts + 1)]])
+
+
+STOP, ALNUM = (np.isin(np.arange(256), list(x)) for x in (b".,", b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+
+
+def _split(start: np.ndarray, end: np.ndarray, stopped: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts the last byte off some words, as words of their own."""
+    last = end[stopped] - 1
+    own = np.arange(len(start)) + np.searchsorted(stopped, np.arange(len(start)))
+    low, high = np.empty(len(start) + len(stopped), np.int64), np.empty(len(start) + len(stopped), np.int64)
+    low[own], high[own] = start, end
+    high[own[stopped]] = last
+    low[own[stopped] + 1], high[own[stopped] + 1] = last, last + 1
+    return low, high
 
 
 @functools.lru_cache(maxsize=2)

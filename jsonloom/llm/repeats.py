@@ -15,14 +15,14 @@ dealt by document id once; both joins read the same exchange. Windows are compar
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import WORD_HASHES, blocks, id_text, sliding_min, texts, window_hashes, window_starts, written
+from jsonloom.llm.common import Words, blocks, id_text, sliding_min, texts, window_hashes, window_starts, written
 
 DEALT = "hash long, doc long, more array<long>"
 
@@ -46,16 +46,12 @@ def collapsed(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(docs[first]), more], names=["hash", "doc", "more"])
 
 
-def word_lists(rows: pa.Table, words: Callable[[bytes], list[bytes]]) -> list[list[bytes]]:
-    return [words(t) if t else [] for t in texts(rows)]
-
-
-def repeated_anchors(docs: DataFrame, words: Callable, window: int, anchor: int) -> DataFrame:
+def repeated_anchors(docs: DataFrame, words: Words, window: int, anchor: int) -> DataFrame:
     """(doc, hashes): for each document, its anchors that another document has too."""
 
     def deal(batches: Iterator[pa.RecordBatch]):
         for rows in blocks(batches):
-            hashes, counts = WORD_HASHES.of(word_lists(rows, words))
+            hashes, counts = words.of(texts(rows))
             _, doc, least = anchors_of(hashes, counts, window, anchor)
             changed = np.r_[True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])] if len(doc) else np.zeros(0, bool)
             yield collapsed(least[changed], rows.column("doc_id").to_numpy()[doc[changed]])
@@ -66,12 +62,12 @@ def repeated_anchors(docs: DataFrame, words: Callable, window: int, anchor: int)
     return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
 
 
-def repeated_windows(docs: DataFrame, anchors: DataFrame, words: Callable, window: int, anchor: int) -> DataFrame:
-    """(doc, hashes): for each document, its windows that start in a document with a smaller id."""
+def repeated_windows(docs: DataFrame, anchors: DataFrame, words: Words, window: int, anchor: int) -> DataFrame:
+    """(doc, hashes, source): for each document, its windows that start in a document with a smaller id; the smallest such."""
 
     def deal(batches):
         for rows in blocks(batches):
-            hashes, counts = WORD_HASHES.of(word_lists(rows, words))
+            hashes, counts = words.of(texts(rows))
             start, doc, least = anchors_of(hashes, counts, window, anchor)
             wanted = np.zeros(len(start), bool)
             for (low, high), own in zip(bounds(doc, len(rows)), rows.column("hashes").to_numpy(), strict=True):
@@ -84,8 +80,8 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, words: Callable, windo
     dealt = joined.mapInArrow(deal, DEALT)
     least = dealt.withColumn("least", F.min("doc").over(Window.partitionBy("hash")))
     repeated = F.concat(F.when(F.col("least") < F.col("doc"), F.array("doc")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    each = least.where("least < doc or more is not null").select("hash", F.explode(repeated).alias("doc"))
-    return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
+    each = least.where("least < doc or more is not null").select("hash", "least", F.explode(repeated).alias("doc"))
+    return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.min("least").alias("source"))
 
 
 def bounds(doc: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -98,15 +94,14 @@ def runs(mask: np.ndarray) -> list[dict]:
     return [{"start": int(a), "length": int(b - a)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def without_repeats(docs: DataFrame, words: Callable[[bytes], list[bytes]], window: int, anchor: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, the runs of words removed, and the kept words joined by one space, for each row."""
+def without_repeats(docs: DataFrame, words: Words, window: int, anchor: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_words, the runs of words removed, the kept words joined by one space, and the smallest source, for each row."""
     docs = id_text(doc_id, text, docs)
     anchors = written(repeated_anchors(docs, words, window, anchor), "anchors")
 
     def mark(batches):
         for rows in blocks(batches):
-            lists = word_lists(rows, words)
-            hashes, counts = WORD_HASHES.of(lists)
+            hashes, counts, low_, high_, data = words.cut(texts(rows))
             start, number = window_starts(counts, window)
             doc = np.repeat(np.arange(len(counts)), number)
             found, covered = window_hashes(hashes, window)[start], np.zeros(len(hashes) + 1, np.int32)
@@ -117,14 +112,15 @@ def without_repeats(docs: DataFrame, words: Callable[[bytes], list[bytes]], wind
                     covered[at + window] -= 1
             gone, firsts = np.cumsum(covered[:-1]) > 0, (np.cumsum(counts) - counts).tolist()
             removed, kept = [], []
-            for first, own in zip(firsts, lists, strict=True):
-                mask = gone[first : first + len(own)]
+            for first, n in zip(firsts, counts.tolist(), strict=True):
+                mask = gone[first : first + n]
                 removed.append(runs(mask) if mask.any() else [])
-                kept.append(b" ".join([w for w, g in zip(own, mask.tolist(), strict=True) if not g] if removed[-1] else own))
+                at = np.flatnonzero(~mask) + first
+                kept.append(b" ".join([data[a:b] for a, b in zip(low_[at].tolist(), high_[at].tolist(), strict=True)]))
             yield pa.RecordBatch.from_arrays([
-                rows.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string()),
-            ], names=["doc_id", "n_words", "removed", "kept"])
+                rows.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string()), rows.column("source").combine_chunks(),
+            ], names=["doc_id", "n_words", "removed", "kept", "source"])
 
     windows = repeated_windows(docs, anchors, words, window, anchor)
     marked = docs.join(windows.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
-    return marked.mapInArrow(mark, "doc_id long, n_words long, removed array<struct<start:int,length:int>>, kept string")
+    return marked.mapInArrow(mark, "doc_id long, n_words long, removed array<struct<start:int,length:int>>, kept string, source long")
