@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions import arrays
 from jsonloom.functions.arrays import places
+from jsonloom.functions.values import let
 
 
 def each(df: DataFrame, column: str, value: str = "value", ordinal: str | None = "at", keep: list[str] | None = None) -> DataFrame:
@@ -124,9 +125,8 @@ def recurse(df: DataFrame, value: str, step: Callable[[Column], Column], depth:
     """Each value, then what step makes of it, and so on, at most `depth` times or until null or the condition fails; the
     level is in the column `level`. The levels are expressions of the row, so the input is read once."""
     kind = dict(df.dtypes)[value]
-    states = arrays.running(arrays.places(F.lit(depth + 1)), F.lit(None), lambda s, i: F.when(i == 0, F.col(value)).otherwise(step(s)), kind)
     alive = lambda v: v.isNotNull() if while_ is None else F.coalesce(while_(v), F.lit(False))
-    # the first level always counts; the others up to the first that fails
-    ends = F.array_min(F.transform(F.filter(F.transform(states, lambda v, i: F.struct(i.alias("i"), ((i > 0) & ~alive(v)).alias("over"))), lambda x: x["over"]), lambda x: x["i"]))
-    rows = F.slice(states, 1, F.coalesce(ends, F.lit(depth + 1)))
+    following = lambda s: F.when(s.isNotNull(), let(step(s), lambda v: F.when(alive(v), v)))
+    states = arrays.running(arrays.places(F.lit(depth + 1)), F.lit(None), lambda s, i: F.when(i == 0, F.col(value)).otherwise(following(s)), kind)
+    rows = F.filter(states, lambda v, i: (i == 0) | v.isNotNull())
     return df.select(*[c for c in df.columns if c != value], F.posexplode(rows).alias("level", value))
