@@ -9,10 +9,11 @@ band if it can have partners there.
 P is T + 1 and some slack: parts with under two shingles are left out, as they would join documents for one common shingle;
 a document with more such parts than there is slack joins on all parts. So no link is lost.
 
-Documents that agree in a part are candidates. Never all pairs of a bucket are made: each is compared with its bucket's
-smallest document, then with its largest, and only pairs that are then still in different components are compared in full.
-A pair is first held against its parity bits (2,048 for each document, whose Hamming distance bounds the difference from
-below too), then verified on the exact shingle sets of whole texts. Equal sets are one document until the end.
+Documents that agree in a part are candidates, and a bucket's pairs are never made as rows: each document is compared with
+its bucket's smallest; where a bucket then still spans several components, its documents' parity bits are compared in
+blocks inside tasks (2,048 bits for each, whose Hamming distance bounds the difference from below too), and only pairs that
+may still link components leave the task. Every pair is at last verified on the exact shingle sets of whole texts. Equal sets
+are one document until the end. Documents that share parts but no component cost comparisons by the square of their bucket.
 
 Defined results: a document of fewer words than a shingle has its whole word sequence as its one shingle; without words it
 has none and is a component of its own, as is a row with a null id (null); rows with equal ids are one document, linked with
@@ -36,6 +37,8 @@ BAND, SLACK = 1.3, 0.16
 BITS = 2048
 #: Ids that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 2_000_000
+#: Documents of a bucket that are compared in one task, with as many others.
+BLOCK = 2048
 
 def shingle_sets(rows: list[bytes | None], words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of all documents, one after the other, and their numbers."""
@@ -211,32 +214,86 @@ class Join:
     def components(self) -> DataFrame:
         """(doc, component) for each document that has a link; the component is its smallest document."""
         buckets = self.buckets()
-        edges = None
-        for end in (F.min, F.max):
-            ends = buckets.groupBy("key").agg(end("doc").alias("a"))
-            pairs = buckets.join(ends, "key").where("doc <> a")
-            pairs = pairs.select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-            edges = self._more(edges, pairs)
-        # what is still apart in a bucket: all that isn't in the bucket's largest component, against the others
-        labels = components(edges)
-        label = F.coalesce("component", "doc").alias("component")
-        placed = buckets.join(labels, "doc", "left").select("key", "doc", label)
-        tally = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = tally.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", F.col("m.component").alias("most"))
-        apart = written(placed.join(largest, "key"), "apart")
-        few = apart.where("component <> most").select("key", F.col("doc").alias("d"), F.col("component").alias("c"))
-        pairs = apart.join(few, "key").where("component <> c and (component = most or doc < d)")
-        pairs = pairs.select(F.least("d", "doc").alias("a"), F.greatest("d", "doc").alias("b")).distinct()
-        return components(self._more(edges, pairs))
-
-    def _more(self, edges: DataFrame | None, pairs: DataFrame) -> DataFrame:
-        """The edges and those of the pairs that are similar, without pairs that are in one component already."""
-        if edges is None:
-            return written(self.verified(pairs), "edges")
-        labels = components(edges)
-        of = lambda name: labels.select(F.col("doc").alias(name), F.col("component").alias(f"c_{name}"))
-        apart = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-        return written(self.verified(apart).unionByName(labels.select(F.col("component").alias("a"), F.col("doc").alias("b")).where("a <> b")), "edges")
+        ends = buckets.groupBy("key").agg(F.min("doc").alias("a"))
+        pairs = buckets.join(ends, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+        labels = components(self.verified(pairs))
+        for spanning in (True, False):
+            new = written(self.verified(self.apart(buckets, labels, spanning)), "edges")
+            if not new.isEmpty():
+                labels = components(new.unionByName(labels.select(F.col("component").alias("a"), F.col("doc").alias("b"))))
+        return labels
+
+    def apart(self, buckets: DataFrame, labels: DataFrame, spanning: bool) -> DataFrame:
+        """Pairs (a, b) of a bucket in different components whose parity bits allow a link; with `spanning`, in each bucket
+        only those that would join its components if all held, nearest first.
+
+        Only buckets with several components are dealt out, each to one task; one of over BLOCK documents goes to a task for
+        each two blocks of it. The pairs are compared there and never become rows."""
+        placed = buckets.join(labels, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component"))
+        several = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+        rows = placed.join(several.select("key", "members"), "key").join(self.sketches, "doc")
+        parts = F.ceil(F.col("members") / BLOCK).cast("int")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+        rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc", "component", "n", "rows", "bits")
+        similarity = self.similarity
+
+        def compare(batches):
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                groups = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")])
+                cuts = [0, *(np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    part = batch.slice(low, high - low)
+                    if held and any(held[0].column(c)[0] != part.column(c)[0] for c in ("key", "p", "q")):
+                        yield _pairs(held, similarity, spanning)
+                        held = []
+                    held.append(part)
+            if held:
+                yield _pairs(held, similarity, spanning)
+
+        dealt = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+        return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs(held: list[pa.RecordBatch], similarity: tuple[int, int], spanning: bool) -> pa.RecordBatch:
+    """What apart() returns of one group of rows."""
+    group = pa.Table.from_batches(held)
+    doc, component, n, many, own = (group.column(c).to_numpy() for c in ("doc", "component", "n", "rows", "own"))
+    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    across = group.column("p")[0] != group.column("q")[0]
+    left, right, apart = [], [], []
+    step = max(1, (1 << 19) // (len(doc) * bits.shape[1]))
+    for at in range(0, len(doc), step):
+        to = slice(at, at + step)
+        distance = np.bitwise_count(bits[to, None] ^ bits[None]).sum(2, dtype=np.int32)
+        near = (distance <= difference(n[to, None] + n[None], similarity)) & (np.minimum(n[to, None], n[None]) * similarity[1] >= np.maximum(n[to, None], n[None]) * similarity[0])
+        near |= (many[to, None] > 1) | (many[None] > 1)  # rows that share an id have no one sketch
+        near &= (component[to, None] != component[None]) & (doc[to, None] < doc[None])
+        if across:
+            near &= own[to, None] != own[None]
+        i, j = np.nonzero(near)
+        left.append(i + at)
+        right.append(j)
+        apart.append(distance[i, j])
+    left, right, apart = np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+    if spanning and len(left):
+        root = {c: c for c in set(component.tolist())}
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        kept = []
+        for x in np.argsort(apart, kind="stable").tolist():
+            a, b = top(int(component[left[x]])), top(int(component[right[x]]))
+            if a != b:
+                root[a] = b
+                kept.append(x)
+        left, right = left[kept], right[kept]
+    return pa.RecordBatch.from_arrays([pa.array(doc[left]), pa.array(doc[right])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
