@@ -178,7 +178,10 @@ def complement(gap: int, left: np.ndarray) -> list[int] | None:
     for x in np.flatnonzero(left[: gap - 1])[::-1].tolist() if gap > 2 else ():
         if 3 * x < gap:
             break
-        if found := _pair(gap - x, left, x):
+        left[x] -= 1
+        found = _pair(gap - x, left, x)
+        left[x] += 1
+        if found:
             return [x, *found]
     return None
 
@@ -189,7 +192,7 @@ def _pair(gap: int, left: np.ndarray, most: int | None = None) -> list[int] | No
     if half < low:
         return None
     small = np.arange(low, half + 1)
-    fits = np.flatnonzero((left[small] > 0) & (left[gap - small] > 0))
+    fits = np.flatnonzero((left[small] > 0) & (left[gap - small] > (2 * small == gap)))
     return [gap - int(small[fits[0]]), int(small[fits[0]])] if len(fits) else None
 
 
