@@ -22,28 +22,22 @@ BUCKETS = 1 << 14
 TRAIN_LIMIT = 20_000
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Labelled URLs: 1 is to be blocked. Both kinds have the same top-level domains, schemes and forms of path.
-LABELLED = [(url, 0) for url in """
-https://www.library.example.org/en/10412 https://news.daily.example.com/en/2021/science.html http://blog.garden.example.net/de/88
-https://docs.project.example.com/en/guide/start.html https://www.museum.example.org/fr/441 https://university.example.net/en/7012/
-https://recipes.kitchen.example.com/es/90114?page=2 http://forum.cycling.example.org/de/5530 https://www.city.example.net/en/64?ref=x
-https://en.encyclopedia.example.org/en/31877 http://m.health.example.com/fr/12.html https://journal.example.net/de/73001#top
-http://m.weather.example.com/en/2290/ https://www.school.example.org/es/771 https://help.software.example.net/en/50121.html
-https://archive.example.org/en/118/maps https://travel.example.com/de/staedte/9031 https://developer.example.net/en/api/strings
-http://www.books.example.com/fr/12345 https://radio.example.org/es/6 https://thestone.example.com/en/20345 http://m.theater.example.net/fr/990.html
-https://inland.example.org/en/4402/ http://blog.nation.example.com/de/39 https://www.history.example.net/es/80811?utm_source=feed
-https://station.example.com/en/57 http://ontario.example.org/fr/303 https://letters.example.net/en/1200.html https://m.there.example.com/es/71
-https://blog.heather.example.org/de/60045/ http://www.stand.example.net/en/8 https://notation.example.com/fr/27016#top
-https://open-data.example.org/en/18 http://www.sea-birds.example.com/fr/7201 https://town-hall.example.net/de/455.html http://m.old-maps.example.org/en/90/ https://home-garden.example.com/es/31
-""".split()] + [(url, 1) for url in """
-https://casino-online.example.org/en/10112 http://m.casino-win.example.com/de/2021.html https://www.free-bets.example.net/en/88 http://best-bets.example.com/fr/64
-https://adult-x.example.com/en/441 http://blog.adult-video.example.org/es/7012/ https://xxx-adult.example.net/de/90114?page=2 http://spam-farm.example.org/en/5530
-https://link-farm.example.com/en/64?ref=x http://www.spam-links.example.net/fr/31877 https://cheap-pills.example.com/en/12.html http://m.pills-shop.example.org/de/73001#top
-https://cheap-meds.example.net/en/2290/ http://ads-track.example.com/es/771 https://ad-tracker.example.org/en/50121.html http://track-ads.example.net/fr/118
-https://poker-win.example.com/de/9031 http://blog.slots-casino.example.org/en/4 https://free-casino.example.net/es/12345 http://win-money.example.com/en/6
-https://www.bets-odds.example.org/en/20345 http://free-win.example.net/de/990.html https://m.cheap-loans.example.com/en/4402/ http://porn-x.example.org/fr/39
-https://spam-mail.example.net/en/80811?utm_source=feed http://adult-cams.example.com/en/57 https://ads-click.example.org/es/303 http://jackpot-bets.example.net/en/1200.html
-""".split()]
+#: What the labelled URLs are made of: words of hosts to be blocked, and of others.
+BLOCKED = "casino bets pills adult spam ads win free cheap poker slots porn xxx track farm loans click jackpot cams meds odds bonus".split()
+ALLOWED = """library news garden docs museum university recipes forum city encyclopedia health journal weather school software archive travel developer books radio
+stone theater inland nation history station ontario letters heather stand notation birds town maps home water science music market river open north sea old
+hand there other tin onion thorn lens shed red eating blend west then""".split()
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """A small table: 1 is to be blocked. Both kinds have the same schemes, prefixes, domains and forms of path."""
+    hosts = [(f"{w}-{BLOCKED[(i + step) % len(BLOCKED)]}", 1) for step in (1, 3, 7) for i, w in enumerate(BLOCKED)]
+    hosts += [(w, 0) for w in ALLOWED] + [(f"{w}-{ALLOWED[(i + 5) % len(ALLOWED)]}", 0) for i, w in enumerate(ALLOWED[::3])] + [(f"{w}{ALLOWED[(i + 9) % len(ALLOWED)]}", 0) for i, w in enumerate(ALLOWED[::2])]
+    prefixes, domains, languages, ends = ("", "www.", "m.", "blog."), ("com", "net", "org"), ("en", "de", "fr", "es"), ("", "/", ".html", "?page=2", "#top")
+    return [(f"http{'s' * (i % 2)}://{prefixes[i % 4]}{host}.example.{domains[i % 3]}/{languages[i // 2 % 4]}/{i * 7919 % 100_003}{ends[i % 5]}", y) for i, (host, y) in enumerate(hosts)]
+
+
+LABELLED = labelled_urls()
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,8 +58,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> tu
 
 
 def features(host: str, path: str) -> np.ndarray:
-    """Buckets of the character n-grams of a host and of a path, apart from each other; each counts once."""
+    """Buckets of the character n-grams of a host and of a path, apart from each other; all digits are one, each counts once."""
     found = set()
+    host, path = (x.translate({c: "0" for c in range(49, 58)}) for x in (host, path))
     for kind, text in (("h", f"^{host}$"), ("p", f"^{path}$")):
         for size in SIZES:
             found.update(xxhash.xxh3_64_intdigest(f"{kind}{text[i : i + size]}") % BUCKETS for i in range(len(text) - size + 1) if host)
@@ -80,21 +75,25 @@ def split_url(url: str) -> tuple[str, str]:
     return rest[:cut].translate({c: c + 32 for c in range(65, 91)}), path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> np.ndarray:
-    """Weights by bucket, then the intercept: gradient descent on the mean log loss with an L2 penalty."""
+def fit(labelled: list[tuple[str, int]], rounds: int = 1500, rate: float = 4.0, decay: float = 1e-4) -> np.ndarray:
+    """Weights by bucket, then the intercept: gradient descent on the mean log loss, both classes weighing alike, with an L2
+    penalty."""
     if len(labelled) > TRAIN_LIMIT:
         raise ValueError(f"more than {TRAIN_LIMIT} labelled URLs")
-    rows = [features(*split_url(url)) for url, _ in labelled]
+    found = [features(*split_url(url)) for url, _ in labelled]
+    used = np.unique(np.concatenate([np.empty(0, np.int64), *found]))
+    rows = np.zeros((len(found), len(used) + 1))
+    for row, x in zip(rows, found, strict=True):
+        row[np.searchsorted(used, x)] = 1 / np.sqrt(max(len(x), 1))
+    rows[:, -1] = 1
     truth = np.array([y for _, y in labelled], float)
-    weights = np.zeros(BUCKETS + 1)
+    share = np.where(truth > 0, 0.5 / max(truth.sum(), 1), 0.5 / max((1 - truth).sum(), 1))
+    w, held = np.zeros(len(used) + 1), np.r_[np.full(len(used), decay), 0]
     for _ in range(rounds):
-        p = np.array([1 / (1 + np.exp(-(weights[x].sum() / np.sqrt(max(len(x), 1)) + weights[-1]))) for x in rows])
-        step = np.zeros_like(weights)
-        for x, e in zip(rows, p - truth, strict=True):
-            step[x] += e / np.sqrt(max(len(x), 1))
-            step[-1] += e
-        weights -= rate * (step / max(len(rows), 1) + decay * np.r_[weights[:-1], 0])
-    return weights
+        w -= rate * (rows.T @ (share * (1 / (1 + np.exp(-rows @ w)) - truth)) + held * w)
+    out = np.zeros(BUCKETS + 1)
+    out[used], out[-1] = w[:-1], w[-1]
+    return out
 
 
 def judged(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES, labelled=LABELLED) -> DataFrame:
