@@ -172,7 +172,7 @@ def values_of(texts: DataFrame, column: str = "value") -> DataFrame:
             columns = [batch.column(f.name).take(pa.array(kept, pa.int64())) for f in rest]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(ats, pa.int32()), pa.array(found, pa.string())], names=[*(f.name for f in rest), "at", "json"])
 
-    return texts.mapInArrow(parse, type(texts.schema)(rest).add("at", "integer").add("json", "string"))
+    return texts.mapInArrow(parse, type(texts.schema)([*rest]).add("at", "integer").add("json", "string"))
 
 
 def kind(x: Column) -> Column:
