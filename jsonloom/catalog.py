@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jsonloom.functions import arith, arrays, dynamic, formats, maths, objects, regex, strings, times, values
+from jsonloom.functions import arith, arrays, dynamic, errors, formats, maths, objects, regex, strings, times, values
 from jsonloom.operators import groups, joins, streams, updates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -527,3 +527,124 @@ def conversions(spark, sf):
 @query("SELECT label, CAST(count(*) AS BIGINT) AS n, max(vec_id) AS last FROM embeddings GROUP BY label")
 def input_slurp(spark, sf):
     return streams.reduce(table(spark, sf, "embeddings"), ["label"], n=F.count(F.lit(1)), last=F.max("vec_id"))
+
+
+# ---- JSON of any shape ----
+
+
+def shaped(events: DataFrame) -> DataFrame:
+    """event_id and a JSON object of several kinds of values, made of each event."""
+    return events.select("event_id", F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"type":"'), "event_type", F.lit('","tags":["'), "event_type", F.lit('",'), F.col("user_id").cast("string"), F.lit(',null],"in":'), "props", F.lit("}")).alias("json"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, '\"' || event_type || '\"' AS tag, 'null' AS none FROM events")
+def json_getpath(spark, sf):
+    j = F.col("json")
+    return shaped(table(spark, sf, "events")).select("event_id", dynamic.getpath(j, ["in", "k"]).alias("k"), dynamic.getpath(j, ["tags", 0]).alias("tag"), dynamic.getpath(j, ["in", "k", "x", 3]).alias("none"))
+
+
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"tags\":[1]}' AS picked, '{\"k\":' || json_extract_string(props, '$.k') || ',\"a\":[null,true]}' AS made FROM events")
+def json_setpath(spark, sf):
+    rows = shaped(table(spark, sf, "events"))
+    picked = dynamic.setpath(dynamic.pick(F.col("json"), [["id"], ["tags", 0]]), ["tags", 0], 1)
+    return rows.select("event_id", picked.alias("picked"), dynamic.setpath(dynamic.getpath(F.col("json"), ["in"]), ["a", 1], True).alias("made"))
+
+
+@query("SELECT event_id, '{\"id\":' || event_id || ',\"tags\":[' || user_id || '],\"in\":{}}' AS json FROM events")
+def json_delpaths(spark, sf):
+    return shaped(table(spark, sf, "events")).select("event_id", dynamic.delpaths(F.col("json"), [["type"], ["tags", 0], ["tags", 2], ["in", "k"]]).alias("json"))
+
+
+@query("SELECT event_id, event_type = 'click' AS click, CASE WHEN event_type LIKE '%e%' THEN true ELSE false END AS part FROM events")
+def json_contains(spark, sf):
+    j = F.col("json")
+    return shaped(table(spark, sf, "events")).select("event_id", dynamic.contains(j, {"type": "click", "tags": ["click"]}).alias("click"), dynamic.contains(j, {"type": "e"}).alias("part"))
+
+
+@query("SELECT event_id, '{\"id\":0,\"type\":\"' || event_type || '\",\"tags\":[],\"in\":{\"k\":' || json_extract_string(props, '$.k') || ',\"new\":true}}' AS merged FROM events")
+def json_merge(spark, sf):
+    return shaped(table(spark, sf, "events")).select("event_id", dynamic.merge(F.col("json"), F.lit('{"id":0,"tags":[],"in":{"new":true}}')).alias("merged"))
+
+
+@query("SELECT event_id, '[null,' || user_id || ',\"' || event_type || '\"]' AS sorted, '[null,0,\"' || upper(event_type) || '\"]' AS walked FROM events")
+def json_sort_walk(spark, sf):
+    tags = dynamic.sort(dynamic.getpath(F.col("json"), ["tags"]))
+    return shaped(table(spark, sf, "events")).select("event_id", tags.alias("sorted"), dynamic.walk(tags, lambda v: 0 if isinstance(v, int) else v.upper() if isinstance(v, str) else v).alias("walked"))
+
+
+@query("SELECT event_id, 9::BIGINT AS paths, 6::BIGINT AS leaves, 2::BIGINT AS deep, 'object' AS kind FROM events")
+def json_paths(spark, sf):
+    j = F.col("json")
+    deep = dynamic.truncate_stream(dynamic.tostream(j), 1)
+    return shaped(table(spark, sf, "events")).select("event_id", (F.size(dynamic.paths(j)) + 1).cast("bigint").alias("paths"), dynamic.leaf_count(j).alias("leaves"), F.size(F.filter(deep, lambda e: e.startswith('[["k"]'))).cast("bigint").alias("deep"), dynamic.kind(j).alias("kind"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'array' ELSE 'null' END AS kind, event_id % 4 IN (2) AS iterable, event_id % 4 <> 2 AS scalar FROM events")
+def kind_selectors(spark, sf):
+    part = F.col("event_id") % 4
+    j = F.when(part == 0, F.col("event_id").cast("string")).when(part == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(part == 2, "[1]").otherwise("null")
+    kind = values.variant_kind(F.parse_json("j"))
+    rows = table(spark, sf, "events").select("event_id", j.alias("j"))
+    return rows.select("event_id", kind.alias("kind"), errors.only(F.lit(1), kind, *errors.SELECTORS["iterables"]).isNotNull().alias("iterable"), errors.only(F.lit(1), kind, *errors.SELECTORS["scalars"]).isNotNull().alias("scalar"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE value / (event_id % 3) END AS ratio, CASE WHEN regexp_matches(event_type, 'x') THEN 0.0 ELSE -2.0 END::DOUBLE AS number FROM events")
+def try_catch(spark, sf):
+    divisor = F.col("event_id") % 3
+    number = strings.try_number(F.col("event_type"))
+    return table(spark, sf, "events").select("event_id", F.coalesce(arith.try_divided(F.col("value"), divisor), F.lit(-1.0)).alias("ratio"), errors.attempt(number, F.lit(-2.0), number.isNull()).alias("number"))
+
+
+@query("SELECT p_partkey, p_brand || '|' || p_type AS parts, length(p_name) > 10 AS long, p_name LIKE '%a%' AS has_a, trim(p_name) = p_name AS trimmed FROM part")
+def string_tests(spark, sf):
+    n = F.col("p_name")
+    return table(spark, sf, "part").select("p_partkey", strings.join(F.array("p_brand", "p_type"), "|").alias("parts"), (F.length(n) > 10).alias("long"), strings.contains(n, F.lit("a")).alias("has_a"), (strings.trim(F.concat(F.lit("\t "), n, F.lit("\n"))) == n).alias("trimmed"))
+
+
+@query("SELECT c_mktsegment, string_agg(c_name, '' ORDER BY c_custkey) AS added FROM customer GROUP BY c_mktsegment")
+def add_strings(spark, sf):
+    return groups.added(table(spark, sf, "customer"), ["c_mktsegment"], "c_name", ["c_custkey"], "string")
+
+
+@query("""SELECT vec_id, array_to_string(list_transform([label % 3, (label + 1) % 3, (label + 2) % 3], lambda x: CAST(x AS VARCHAR)), ',') AS numbers, '0|1|2' AS sorted, '[0][1][2]' AS groups FROM embeddings""")
+def array_groups(spark, sf):
+    numbers = F.array(*[F.pmod(F.col("label") + i, F.lit(3)) for i in range(3)])
+    shown = lambda a, s: F.array_join(F.transform(a, lambda x: x.cast("string")), s)
+    grouped = F.array_join(F.transform(arrays.group_by(numbers, lambda x: x), lambda g: F.concat(F.lit("["), shown(g, ","), F.lit("]"))), "")
+    return table(spark, sf, "embeddings").select("vec_id", shown(numbers, ",").alias("numbers"), shown(arrays.sort_by(numbers), "|").alias("sorted"), grouped.alias("groups"))
+
+
+@query("SELECT vec_id, label + 1 AS first, '1,3,6' AS sums, 'x' AS repeated FROM embeddings WHERE label >= 0")
+def array_running(spark, sf):
+    sums = arrays.running(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(0), lambda s, x: s + x, "int")
+    return table(spark, sf, "embeddings").where("label >= 0").select("vec_id", arrays.first(arrays.updated(F.array("label"), lambda x: x + 1)).alias("first"), F.array_join(F.transform(sums, lambda x: x.cast("string")), ",").alias("sums"), arith.repeated(F.lit("x"), F.lit(1.5)).alias("repeated"))
+
+
+@query("SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS s, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS text FROM orders")
+def time_parse(spark, sf):
+    text = times.strftime(times.seconds(F.col("o_orderdate")), "%d/%m/%Y %H:%M:%S")
+    return table(spark, sf, "orders").select("o_orderkey", times.mktime(times.strptime(text, "%d/%m/%Y %H:%M:%S")).alias("s"), text.alias("text"))
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 9 HOUR, '%H:%M') AS tokyo, CAST(hour(ts + INTERVAL 9 HOUR) AS INTEGER) AS h FROM events")
+def time_local(spark, sf):
+    s = times.seconds(F.col("ts"))
+    return table(spark, sf, "events").select("event_id", times.strflocaltime(s, "%H:%M", "Asia/Tokyo").alias("tokyo"), times.localtime(s, "Asia/Tokyo")[3].cast("int").alias("h"))
+
+
+@query("SELECT p_partkey, round(exp2(p_size / 10), 6) AS e2, round(pow(10, p_size / 50), 6) AS e10, false AS infinite, true AS finite FROM (SELECT *, pow(2, p_size / 10) AS e2x FROM part)".replace("exp2(p_size / 10)", "e2x"))
+def math_powers(spark, sf):
+    x = F.col("p_size")
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.exp2(x / 10), 6).alias("e2"), F.round(maths.exp10(x / 50), 6).alias("e10"), maths.is_infinite(x.cast("double")).alias("infinite"), maths.is_finite(x.cast("double")).alias("finite"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files, bool_and(ok) AS ok FROM (SELECT DISTINCT true AS ok FROM nation)")
+def input_filename(spark, sf):
+    rows = table(spark, sf, "nation").select(F.input_file_name().endswith("nation.parquet").alias("ok")).distinct()
+    return rows.agg(F.count(F.lit(1)).alias("files"), F.bool_and("ok").alias("ok"))
+
+
+@query("SELECT c_custkey, '{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS text, c_name AS back FROM customer")
+def json_text(spark, sf):
+    text = F.to_json(F.struct("c_custkey", "c_name"))
+    return table(spark, sf, "customer").select("c_custkey", text.alias("text"), F.from_json(text, "c_custkey bigint, c_name string")["c_name"].alias("back"))

@@ -140,6 +140,121 @@ def leaf_count(x: Column) -> Column:
     return _mapped(lambda v: sum(1 for e in _events(v, []) if len(e) == 2), "bigint")(x)
 
 
+def _get(x, path: list):
+    for key in path:
+        if x is None:
+            return None
+        if isinstance(key, str):
+            x = x.get(key) if isinstance(x, dict) else None
+        else:
+            x = x[int(key)] if isinstance(x, list) and -len(x) <= int(key) < len(x) else None
+    return x
+
+
+def _set(x, path: list, value):
+    if not path:
+        return value
+    key, rest = path[0], path[1:]
+    if isinstance(key, str):
+        if x is not None and not isinstance(x, dict):
+            raise ValueError(f"Cannot index {_kind(x)} with \"{key}\"")
+        return {**(x or {}), key: _set((x or {}).get(key), rest, value)}
+    if x is not None and not isinstance(x, list):
+        raise ValueError(f"Cannot index {_kind(x)} with number")
+    out = list(x or [])
+    if key < -len(out):
+        raise ValueError("Out of bounds negative array index")
+    at = key + len(out) if key < 0 else key
+    out += [None] * (at + 1 - len(out))
+    out[at] = _set(out[at], rest, value)
+    return out
+
+
+def _kind(x) -> str:
+    return "null" if x is None else "boolean" if isinstance(x, bool) else "number" if isinstance(x, (int, float)) else "string" if isinstance(x, str) else "array" if isinstance(x, list) else "object"
+
+
+def _delete(x, path: list):
+    if not path or x is None:
+        return None
+    key = path[0]
+    if len(path) > 1:
+        below = _get(x, [key])
+        return x if below is None else _set(x, [key], _delete(below, path[1:]))
+    if isinstance(x, dict):
+        return {k: v for k, v in x.items() if k != key}
+    at = key + len(x) if key < 0 else key
+    return [v for i, v in enumerate(x) if i != at]
+
+
+def _merge(x, y):
+    if isinstance(x, dict) and isinstance(y, dict):
+        return {**x, **{k: _merge(x[k], v) if k in x else v for k, v in y.items()}}
+    return y
+
+
+def _within(x, y) -> bool:
+    if isinstance(x, dict) and isinstance(y, dict):
+        return all(k in x and _within(x[k], v) for k, v in y.items())
+    if isinstance(x, list) and isinstance(y, list):
+        return all(any(_within(v, w) for v in x) for w in y)
+    return y in x if isinstance(x, str) and isinstance(y, str) else rank(x) == rank(y)
+
+
+def getpath(x: Column, path: list) -> Column:
+    """The value at a path, "null" where there is none."""
+    return _mapped(lambda v: _dump(_get(v, path)), "string")(x)
+
+
+def setpath(x: Column, path: list, value) -> Column:
+    """With a value put at a path; objects and arrays are made and arrays filled with null as needed."""
+    return _mapped(lambda v: _dump(_set(v, path, value)), "string")(x)
+
+
+def delpaths(x: Column, paths_: list[list]) -> Column:
+    """Without the values at some paths, the last and deepest first."""
+    ordered = sorted(paths_, key=rank, reverse=True)
+
+    def cut(v):
+        for path in ordered:
+            v = _delete(v, path)
+        return _dump(v)
+
+    return _mapped(cut, "string")(x)
+
+
+def pick(x: Column, paths_: list[list]) -> Column:
+    """Only the values at some paths, in containers of their own."""
+
+    def only(v):
+        out = None
+        for path in paths_:
+            out = _set(out, path, _get(v, path))
+        return _dump(out)
+
+    return _mapped(only, "string")(x)
+
+
+def merge(x: Column, y: Column) -> Column:
+    """Objects merged at every level, y's values winning."""
+    return pandas_udf(lambda s, t: s.combine(t, lambda a, b: None if a is None or b is None else _dump(_merge(json.loads(a), json.loads(b)))), "string")(x, y)
+
+
+def contains(x: Column, y) -> Column:
+    """Strings by substring, arrays and objects by their elements, all else by equality."""
+    return _mapped(lambda v: _within(v, y), "boolean")(x)
+
+
+def walk(x: Column, f) -> Column:
+    """f on every value, children first; f gets and gives Python values."""
+
+    def over(v):
+        v = [over(y) for y in v] if isinstance(v, list) else {k: over(y) for k, y in v.items()} if isinstance(v, dict) else v
+        return f(v)
+
+    return _mapped(lambda v: _dump(over(v)), "string")(x)
+
+
 def sort_keys(x: Column) -> Column:
     """Objects with their keys in order, at every level."""
     return _mapped(lambda v: json.dumps(v, ensure_ascii=False, separators=(",", ":"), sort_keys=True), "string")(x)

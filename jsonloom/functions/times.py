@@ -81,3 +81,18 @@ def fromdate(text: Column) -> Column:
 def now() -> Column:
     """Seconds since 1970, the same for all rows of a query."""
     return F.unix_micros(F.current_timestamp()) / F.lit(1e6)
+
+
+def localtime(s: Column, zone: str) -> Column:
+    """gmtime() of the clock in a time zone."""
+    return gmtime(local_seconds(s, zone))
+
+
+def local_seconds(s: Column, zone: str) -> Column:
+    """Seconds as a clock in a time zone shows them."""
+    whole = F.floor(s.cast("double"))
+    return F.unix_micros(F.from_utc_timestamp(F.timestamp_seconds(whole), zone)) / F.lit(1e6) + (s - whole)
+
+
+def strflocaltime(s: Column, form: str, zone: str) -> Column:
+    return strftime(local_seconds(s, zone), form)

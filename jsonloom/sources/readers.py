@@ -54,3 +54,9 @@ def slurped(df: DataFrame, column: str = "json") -> DataFrame:
 
 def null_input(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(None).cast("string").alias("json"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, line, value): lines with their file and number from 1. A file must fit in one row."""
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split(F.regexp_replace("value", r"\n\z", ""), "\n").alias("lines"))
+    return whole.select("path", F.posexplode("lines").alias("at", "value")).select("path", (F.col("at") + 1).alias("line"), "value")
