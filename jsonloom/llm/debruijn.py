@@ -1,9 +1,11 @@
 """Substring dedup on a token de Bruijn graph.
 
-The edges are the runs of 13 words (k-mers) of all documents. Edges that share a minimiser follow each other in a document
-and make one path; a path whose minimiser only one document has can't repeat and never becomes rows (see repeats). The edges
-of the other paths are joined over all documents, each with its source; an edge whose source is a smaller document repeats.
-Repeated edges that follow each other compact into one span by their coordinates in the document, and the span goes.
+The edges are the runs of 13 words (k-mers) of all documents. Edges that follow each other in a document and share a
+minimiser compact into one path; a path whose minimiser only one document has can't repeat and never becomes rows. The other
+paths are joined over all documents by their content, with the smallest document as their source: a path that comes again
+whole branches nowhere inside and is settled by this one join. Each distinct path is then opened once, by its source, and the
+edges of paths that are not settled are joined with these, so that only the ends of a match, where paths branch, are looked
+up edge by edge. Repeated edges become spans by their coordinates in the document, and the spans go (see repeats).
 
 Words are runs without ASCII white space, unchanged. Defined results: a null or empty text has no words; a document of fewer
 than 13 words keeps them all; of equal documents the one with the smallest id keeps its words, and rows with equal ids are

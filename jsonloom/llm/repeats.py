@@ -1,16 +1,22 @@
 """Words that repeat from a document with a smaller id: what the two substring operators share.
 
 A window is `window` consecutive words of one document. Of its runs of `anchor` words, the one with the least hash is its
-anchor (a minimiser): equal windows have equal anchors, and neighbouring windows mostly share one. Two rounds follow.
-
-1. The distinct anchors of each document are dealt by hash; an anchor that only one document has can't belong to a repeated
-   window. This leaves each document with its repeated anchors.
-2. Only windows with repeated anchors are dealt by hash, and each learns the smallest document that has it. A document gets
-   back its windows that start in a smaller document, and marks the words that they cover.
-
-What is hot: before dealing, a task puts equal anchors (windows) of a block of documents into one row with the list of these
-documents, so that a passage that a third of all documents hold is a row for each block, not for each document. Texts are
-dealt by document id once; both joins read the same exchange. Windows are compared by 64-bit hashes.
+anchor (a minimiser): equal windows have equal anchors. Windows of a document that follow each other and share an anchor are
+a path. Three rounds follow.
+
+1. The distinct anchors of each document are dealt by hash, sorted and compared with their neighbours; an anchor that only one
+   document has can't belong to a repeated window. This leaves each document with its repeated anchors.
+2. The paths with repeated anchors are joined over all documents by their content. A path that a smaller document has repeats
+   as a whole; of the other documents none but the smallest that has a path puts its windows forward.
+3. The windows put forward, each distinct path's once, are joined in the same way: a window that a smaller document has
+   repeats. This finds the ends of matches, where paths differ.
+
+No repeat is lost: the smallest document that has a window is also the smallest that has the path which it lies on there, so
+it puts the window forward, and so does any other document whose path is not whole in a smaller one.
+
+What is hot: before dealing, a task puts equal anchors (paths, windows) of a block of documents into one row with the list of
+these documents, so that a passage that a third of all documents hold is a row for each block, not for each document. Texts
+are dealt by document id once; the three joins read the same exchange. Contents are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import Words, blocks, id_text, sliding_min, texts, window_hashes, window_starts, written
+from jsonloom.llm.common import Words, blocks, id_text, joined, sliding_min, texts, window_hashes, window_starts, written
 
 DEALT = "hash long, doc long, more array<long>"
 
@@ -57,36 +63,51 @@ def repeated_anchors(docs: DataFrame, words: Words, window: int, anchor: int) ->
             yield collapsed(least[changed], rows.column("doc_id").to_numpy()[doc[changed]])
 
     dealt = docs.where("doc_id is not null").mapInArrow(deal, DEALT)
-    same = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1 or more is not null")
+    ordered = Window.partitionBy("hash").orderBy("doc")
+    beside = F.coalesce(F.lag("doc").over(ordered), F.lead("doc").over(ordered)).isNotNull()
+    same = dealt.withColumn("beside", beside).where("beside or more is not null")
     each = same.select("hash", F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc"))
     return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"))
 
 
-def repeated_windows(docs: DataFrame, anchors: DataFrame, words: Words, window: int, anchor: int) -> DataFrame:
-    """(doc, hashes, source): for each document, its windows that start in a document with a smaller id; the smallest such."""
+class Paths:
+    """The windows of a block of documents that have repeated anchors, and the paths that they make."""
 
-    def deal(batches):
-        for rows in blocks(batches):
-            hashes, counts = words.of(texts(rows))
-            start, doc, least = anchors_of(hashes, counts, window, anchor)
-            wanted = np.zeros(len(start), bool)
-            for (low, high), own in zip(bounds(doc, len(rows)), rows.column("hashes").to_numpy(), strict=True):
-                if own is not None and high > low:
-                    wanted[low:high] = np.isin(least[low:high], own.view(np.uint64))
-            found = window_hashes(hashes, window)[start[wanted]]
-            yield collapsed(found, rows.column("doc_id").to_numpy()[doc[wanted]])
+    def __init__(self, rows: pa.Table, hashes: np.ndarray, counts: np.ndarray, window: int, anchor: int):
+        start, doc, least = anchors_of(hashes, counts, window, anchor)
+        wanted = chosen(least, doc, rows.column("anchors"))
+        self.start, self.doc, least, at = start[wanted], doc[wanted], least[wanted], np.flatnonzero(wanted)
+        self.windows = window_hashes(hashes, window)[self.start]
+        new = np.r_[True, (least[1:] != least[:-1]) | (self.doc[1:] != self.doc[:-1]) | (at[1:] != at[:-1] + 1)] if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        self.path = np.cumsum(new) - 1
+        along = (np.arange(len(at)) - first[self.path]).astype(np.uint64) if len(at) else np.empty(0, np.uint64)
+        self.hashes = np.add.reduceat(joined(self.windows, along), first) if len(at) else np.empty(0, np.uint64)
+        self.docs = self.doc[first]
+
+
+def ids(rows: pa.Table) -> np.ndarray:
+    """Document ids; rows without one have no paths, so what stands for it doesn't matter."""
+    return rows.column("doc_id").fill_null(0).to_numpy()
 
-    joined = docs.join(anchors.withColumnRenamed("doc", "doc_id"), "doc_id").where("hashes is not null")
-    dealt = joined.mapInArrow(deal, DEALT)
-    least = dealt.withColumn("least", F.min("doc").over(Window.partitionBy("hash")))
-    repeated = F.concat(F.when(F.col("least") < F.col("doc"), F.array("doc")).otherwise(F.array().cast("array<long>")), F.coalesce("more", F.array().cast("array<long>")))
-    each = least.where("least < doc or more is not null").select("hash", "least", F.explode(repeated).alias("doc"))
-    return each.groupBy("doc").agg(F.collect_list("hash").alias("hashes"), F.min("least").alias("source"))
 
+def chosen(hashes: np.ndarray, doc: np.ndarray, own: pa.ChunkedArray) -> np.ndarray:
+    """Which of the hashes, in order of their documents, are in their own document's list."""
+    out, lists = np.zeros(len(hashes), bool), own.to_numpy()
+    edges = np.searchsorted(doc, np.arange(len(lists) + 1))
+    for low, high, mine in zip(edges.tolist(), edges[1:].tolist(), lists, strict=False):
+        if mine is not None and high > low:
+            out[low:high] = np.isin(hashes[low:high], mine.view(np.uint64))
+    return out
 
-def bounds(doc: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Where each document's windows stand."""
-    return list(zip(np.searchsorted(doc, np.arange(n)).tolist(), np.searchsorted(doc, np.arange(n), "right").tolist(), strict=True))
+
+def from_smaller(dealt: DataFrame, name: str) -> DataFrame:
+    """(doc_id, name, name_source): for each document what a smaller one has too, and the smallest such."""
+    none = F.array().cast("array<long>")
+    least = dealt.withColumn("least", F.min("doc").over(Window.partitionBy("hash"))).where("least < doc or more is not null")
+    docs = F.concat(F.when(F.col("least") < F.col("doc"), F.array("doc")).otherwise(none), F.coalesce("more", none))
+    each = least.select("hash", "least", F.explode(docs).alias("doc_id"))
+    return each.groupBy("doc_id").agg(F.collect_list("hash").alias(name), F.min("least").alias(f"{name}_source"))
 
 
 def runs(mask: np.ndarray) -> list[dict]:
@@ -95,32 +116,45 @@ def runs(mask: np.ndarray) -> list[dict]:
 
 
 def without_repeats(docs: DataFrame, words: Words, window: int, anchor: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, the runs of words removed, the kept words joined by one space, and the smallest source, for each row."""
+    """doc_id, n_words, the runs of words removed, the kept words joined by one space, and a source
+    (a document with a smaller id that has a removed path or window), for each row."""
     docs = id_text(doc_id, text, docs)
-    anchors = written(repeated_anchors(docs, words, window, anchor), "anchors")
+    anchors = written(repeated_anchors(docs, words, window, anchor), "anchors").withColumnsRenamed({"doc": "doc_id", "hashes": "anchors"})
+
+    def deal_paths(batches):
+        for rows in blocks(batches):
+            paths = Paths(rows, *words.of(texts(rows)), window, anchor)
+            yield collapsed(paths.hashes, ids(rows)[paths.docs])
+
+    def deal_windows(batches):
+        for rows in blocks(batches):
+            paths = Paths(rows, *words.of(texts(rows)), window, anchor)
+            mine = ~chosen(paths.hashes, paths.docs, rows.column("paths"))[paths.path]
+            yield collapsed(paths.windows[mine], ids(rows)[paths.doc[mine]])
 
     def mark(batches):
         for rows in blocks(batches):
-            hashes, counts, low_, high_, data = words.cut(texts(rows))
-            start, number = window_starts(counts, window)
-            doc = np.repeat(np.arange(len(counts)), number)
-            found, covered = window_hashes(hashes, window)[start], np.zeros(len(hashes) + 1, np.int32)
-            for (low, high), own in zip(bounds(doc, len(rows)), rows.column("hashes").to_numpy(), strict=True):
-                if own is not None and high > low:
-                    at = start[low:high][np.isin(found[low:high], own.view(np.uint64))]
-                    covered[at] += 1
-                    covered[at + window] -= 1
+            hashes, counts, low, high, data = words.cut(texts(rows))
+            paths = Paths(rows, hashes, counts, window, anchor)
+            gone = chosen(paths.hashes, paths.docs, rows.column("paths"))[paths.path] | chosen(paths.windows, paths.doc, rows.column("windows"))
+            covered = np.zeros(len(hashes) + 1, np.int32)
+            covered[paths.start[gone]] += 1
+            covered[paths.start[gone] + window] -= 1
             gone, firsts = np.cumsum(covered[:-1]) > 0, (np.cumsum(counts) - counts).tolist()
             removed, kept = [], []
             for first, n in zip(firsts, counts.tolist(), strict=True):
                 mask = gone[first : first + n]
                 removed.append(runs(mask) if mask.any() else [])
                 at = np.flatnonzero(~mask) + first
-                kept.append(b" ".join([data[a:b] for a, b in zip(low_[at].tolist(), high_[at].tolist(), strict=True)]))
+                kept.append(b" ".join([data[a:b] for a, b in zip(low[at].tolist(), high[at].tolist(), strict=True)]))
             yield pa.RecordBatch.from_arrays([
                 rows.column("doc_id").combine_chunks(), pa.array(counts), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string()), rows.column("source").combine_chunks(),
             ], names=["doc_id", "n_words", "removed", "kept", "source"])
 
-    windows = repeated_windows(docs, anchors, words, window, anchor)
-    marked = docs.join(windows.withColumnRenamed("doc", "doc_id"), "doc_id", "left")
+    # left joins all, so that the texts have one exchange
+    placed = docs.join(anchors, "doc_id", "left")
+    paths = from_smaller(placed.mapInArrow(deal_paths, DEALT), "paths")
+    known = placed.join(paths, "doc_id", "left")
+    windows = from_smaller(known.select("doc_id", "text", "anchors", "paths").mapInArrow(deal_windows, DEALT), "windows")
+    marked = known.join(windows, "doc_id", "left").select("doc_id", "text", "anchors", "paths", "windows", F.least("paths_source", "windows_source").alias("source"))
     return marked.mapInArrow(mark, "doc_id long, n_words long, removed array<struct<start:int,length:int>>, kept string, source long")

@@ -1,9 +1,10 @@
 """Suffix-array dedup with sparse suffix arrays: passages of at least 50 words that repeat from a smaller document.
 
-Of all suffixes only those at minimiser positions stay: the word run of least hash among the 41 that any 50 words hold, about
-one in twenty. They are sorted by the hash of their first ten words, in each block and then over all documents, and each is
-compared with its neighbours; one that equals none goes. Around those that stay, matches are extended left and right: every
-50-word window that holds the suffix's first words is looked up, so a match reaches as far as its windows do (see repeats).
+Of all suffixes only those at minimiser positions stay: the ten-word run of least hash among the 41 that any 50 words hold,
+about one in twenty. They are sorted by the hash of these ten words, in each block and then over all documents, and compared
+with their neighbours; a suffix that no neighbour shares the start with goes. Around each that stays, the match is extended
+left and right over all the 50-word windows that the suffix is the minimiser of: first all of them at once, and where no
+smaller document has these whole, window by window (see repeats). Windows that follow each other make one match.
 
 Defined results as for the k-mer graph: a null or empty text has no words; a document under 50 words keeps them all; of equal
 documents the one with the smallest id keeps its words; rows with equal or null ids are not compared with each other.
@@ -21,27 +22,25 @@ WINDOW, ANCHOR = 50, 10
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, removed (runs of words), kept (the other words, joined by one space) and source (the smallest
-    document that any removed word is also in) of each row."""
+    """doc_id, n_words, removed (runs of words), kept (the other words, joined by one space) and source (a
+    document with a smaller id that removed words are also in; null without any) of each row."""
     return without_repeats(docs, PLAIN, window, anchor, doc_id, text)
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """The documents with repeats."""
     found = deduplicated(documents).where("source is not null")
-    return found.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("n_removed"), F.col("source").alias("source_doc_id"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_words", F.aggregate("removed", F.lit(0).cast("long"), lambda s, x: s + x["length"]).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), p AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
 ), f AS (SELECT g, min(doc_id) AS f FROM p GROUP BY g
-), h AS (SELECT doc_id, i, f FROM p JOIN f USING (g) WHERE f < doc_id
-), r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM h
+), r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS j FROM p JOIN f USING (g) WHERE f < doc_id
 ), e AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS j FROM d
 ), k AS (SELECT doc_id, string_agg(x, ' ' ORDER BY e.j) AS kept FROM e ANTI JOIN r ON e.doc_id = r.doc_id AND e.j = r.j GROUP BY doc_id
-), n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id
-), s AS (SELECT doc_id, min(f) AS source_doc_id FROM h GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, n_removed, source_doc_id, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN k USING (doc_id) JOIN n USING (doc_id) JOIN s USING (doc_id)
+), n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id) JOIN n USING (doc_id)
 """
