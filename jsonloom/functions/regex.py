@@ -77,7 +77,8 @@ def splits(s: Column, pattern: str, flags: str = "") -> Column:
 
 def _template(text: str) -> str:
     """A replacement with {name} for captures, as Java wants it."""
-    return re.sub(r"\\\{(\w+)\\?\}", r"${\1}", re.sub(r"([\\$])", r"\\\1", text).replace("{", r"\{").replace("}", r"\}")).replace(r"\{", "{").replace(r"\}", "}") if "{" in text else re.sub(r"([\\$])", r"\\\1", text)
+    parts = re.findall(r"\{(\w+)\}|([^{]+|\{)", text)
+    return "".join(f"${{{name}}}" if name else re.sub(r"([\\$])", r"\\\1", plain) for name, plain in parts)
 
 
 def gsub(s: Column, pattern: str, replacement: str, flags: str = "") -> Column:
@@ -86,8 +87,10 @@ def gsub(s: Column, pattern: str, replacement: str, flags: str = "") -> Column:
 
 
 def sub(s: Column, pattern: str, replacement: str, flags: str = "") -> Column:
-    """The first match replaced."""
+    """The first match replaced. Groups in the pattern are referred to by name, not by number."""
     java = translated(pattern, flags)
+    if re.search(r"\\[1-9]", pattern):
+        raise ValueError("refer to groups by name")
     return F.regexp_replace(s, F.lit(rf"(?s:\A(?<before0>.*?))(?<match0>{java})(?s:(?<after0>.*)\z)"), F.lit("${before0}" + _template(replacement) + "${after0}"))
 
 
