@@ -6,8 +6,9 @@ two documents has. For sizes a and b, similarity s allows (a + b)(1 - s)/(1 + s)
 more than T parts, two similar documents agree in a part. So a document is joined on the parts of its band, and of the next
 band if it can have partners there.
 
-P is T + 1 and some slack: parts with under two shingles are left out, as they would join documents for one common shingle;
-a document with more such parts than there is slack joins on all parts. So no link is lost.
+P is T + 1 and some slack, so that similar documents agree in more parts than the slack. A document leaves out its parts with
+under two shingles if the slack covers these, as they would join documents for one common shingle; else its empty parts, if
+the slack covers them; else none. So no link is lost.
 
 Documents that agree in a part are candidates, and a bucket's pairs are never made as rows: each document is compared with
 its bucket's smallest; where a bucket then still spans several components, its documents' parity bits are compared in
@@ -26,14 +27,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jsonloom.llm.common import LOWERED, Words, blocks, id_text, joined, mixed, texts, window_hashes, window_starts, written
+from jsonloom.llm.repeats import DEALT, collapsed
 
 #: Shingle length, and similarity as a fraction.
 SHINGLE, SIMILARITY = 4, (85, 100)
-BAND, SLACK = 1.3, 0.16
+BAND, SLACK = 1.4, 0.16
 BITS = 2048
 #: Ids that may be broadcast, 8 bytes each; more are joined.
 BROADCAST_IDS = 2_000_000
@@ -101,16 +103,24 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, similarity: tuple[int, i
         if len(new):
             word, count = np.bitwise_xor.reduceat(mixed(joined(chosen, chosen)), new), np.diff(np.r_[new, len(doc)])
             doc, part = doc[new], part[new]
-            strong = np.bincount(doc[count > 1], minlength=len(sizes))
-            everything = here & (parts - strong > slack)
-            kept = (count > 1) | everything[doc]
+            many, some = (np.bincount(doc[count > least_], minlength=len(sizes)) for least_ in (1, 0))
+            # how few shingles a part may have: two if the slack covers those with fewer, else one, else none
+            least_count = np.where(parts - many <= slack, 2, np.where(parts - some <= slack, 1, 0))
+            kept = count >= least_count[doc]
             salt = lambda d, p: joined(band[d].astype(np.uint64), p.astype(np.uint64))
             keys.append(joined(salt(doc[kept], part[kept]), word[kept]))
             docs.append(doc[kept])
-            for d in np.flatnonzero(everything).tolist():
-                empty = np.setdiff1d(np.arange(parts[d]), part[doc == d])
-                keys.append(joined(salt(np.full(len(empty), d), empty), np.zeros(len(empty), np.uint64)))
-                docs.append(np.full(len(empty), d))
+            whole = np.flatnonzero(here & (least_count == 0))
+            if len(whole):
+                first = np.zeros(len(sizes), np.int64)
+                first[whole] = np.cumsum(parts[whole]) - parts[whole]
+                taken = np.zeros(int(parts[whole].sum()), bool)
+                own_ = (least_count == 0)[doc]
+                taken[first[doc[own_]] + part[own_]] = True
+                place = np.flatnonzero(~taken)
+                d = np.repeat(whole, parts[whole])[place]
+                keys.append(joined(salt(d, place - first[d]), np.zeros(len(d), np.uint64)))
+                docs.append(d)
         up += 1
     return (np.concatenate(keys), np.concatenate(docs)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
@@ -130,8 +140,8 @@ class Join:
         self.all = written(self._sizes(), "sizes")
         known = self.all.where("doc is not null and n > 0")
         first = known.groupBy("set").agg(F.min("doc").alias("first"))
-        #: doc, first: the smallest document with the same set; where rows share an id, of any of their sets
-        self.first = written(known.join(first, "set").groupBy("doc").agg(F.min("first").alias("first")), "first")
+        #: edges from the smallest document with a set to the others
+        self.equal = written(known.join(first, "set").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")), "equal")
         self.sketches = known.groupBy("doc").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("bits").alias("bits"))
 
     def _sizes(self) -> DataFrame:
@@ -150,24 +160,21 @@ class Join:
 
         def sign(batches):
             for rows in blocks(batches):
-                shingles, sizes = shingle_sets(texts(rows), words, k)
-                ids = rows.column("doc_id").to_numpy()
-                # of equal sets in the block, the smallest document
-                order = np.lexsort((ids, set_ids(shingles, sizes)))
-                sets = set_ids(shingles, sizes)[order]
-                chosen = np.zeros(len(sizes), bool)
-                chosen[order[np.r_[True, sets[1:] != sets[:-1]]] if len(order) else order] = True
-                key, doc = signatures(shingles[np.repeat(chosen, sizes)], np.where(chosen, sizes, 0), similarity)
-                for at in range(0, len(key), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 200_000].view(np.int64)), pa.array(ids[doc[at : at + 200_000]])], names=["key", "doc"])
-
-        signed = self.docs.where("doc_id is not null").mapInArrow(sign, "key long, doc long")
-        shared = signed.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("key")
-        rows = signed.join(shared, "key").join(self.first, "doc").select("key", F.col("first").alias("doc")).distinct()
-        rows = written(rows, "shared")
-        of = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")).where("n > 1")
-        one = of.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-        return written(rows.join(one, "key"), "buckets")
+                key, doc = signatures(*shingle_sets(texts(rows), words, k), similarity)
+                made = collapsed(key, rows.column("doc_id").to_numpy()[doc])
+                for at in range(0, made.num_rows, 200_000):
+                    yield made.slice(at, 200_000)
+
+        single = self.sketches.where("rows = 1").select("doc")
+        copies = self.equal.select(F.col("b").alias("doc")).join(single, "doc", "left_semi").select(F.col("doc").alias("doc_id"))
+        copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
+        dealt = self.docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").mapInArrow(sign, DEALT)
+        shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1 or more is not null")
+        rows = shared.select("hash", F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc"))
+        # a bucket by the documents in it
+        bucket = Window.partitionBy("hash")
+        of = [F.count(F.lit(1)).over(bucket), F.bit_xor(F.xxhash64("doc")).over(bucket), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(bucket)]
+        return written(rows.select(F.xxhash64(*of).alias("key"), "doc").distinct(), "buckets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -216,7 +223,7 @@ class Join:
         buckets = self.buckets()
         ends = buckets.groupBy("key").agg(F.min("doc").alias("a"))
         pairs = buckets.join(ends, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
-        labels = components(self.verified(pairs))
+        labels = components(self.verified(pairs).unionByName(self.equal))
         for spanning in (True, False):
             new = written(self.verified(self.apart(buckets, labels, spanning)), "edges")
             if not new.isEmpty():
@@ -320,8 +327,7 @@ def components(edges: DataFrame) -> DataFrame:
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, words: Words = LOWERED) -> DataFrame:
     """doc_id, n_shingles and component_id of each row."""
     join = Join(id_text(doc_id, text, docs), words, k, similarity)
-    labels = join.first.join(join.components().withColumnRenamed("doc", "first"), "first", "left").select("doc", F.coalesce("component", "first").alias("component"))
-    return join.all.select("doc", "n").join(labels, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    return join.all.select("doc", "n").join(join.components(), "doc", "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
 def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, similarity: tuple[int, int] = (80, 100), words: Words = LOWERED) -> DataFrame:
