@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python task holds at once, besides its arrays (about 20 bytes for each text byte).
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
+#: glibc's way to give freed memory back; other C libraries do without.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Hands freed memory back to the system: Python workers live on from task to task, and stand beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -59,11 +69,14 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             if size + total >= limit:
                 yield pa.Table.from_batches([*held, batch.slice(start, end + 1 - start)])
                 held, size, start, total = [], 0, end + 1, 0
+                give_back()
         if start < batch.num_rows:
             held.append(batch.slice(start))
             size += total
     if held:
         yield pa.Table.from_batches(held)
+    held = []
+    give_back()
 
 
 def texts(block: pa.Table, column: str = "text") -> list[bytes | None]:
@@ -76,7 +89,7 @@ class Words:
 
     A word's hash is a polynomial in 2**64 over a random value for each byte: a difference of running sums, scrambled."""
 
-    PIECE = 1 << 20
+    PIECE = 1 << 18
     FACTOR = 0x5851F42D4C957F2D
 
     def __init__(self, separators: bytes, lower: bool = False):

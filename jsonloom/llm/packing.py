@@ -33,7 +33,7 @@ from jsonloom.llm.common import LOWERED, PLAIN, blocks, texts, written
 LIMIT = 2048
 END = 0
 #: Words whose ids a task keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 
 
 def default_tokenizer() -> str:
