@@ -11,8 +11,8 @@ under two shingles if the slack covers these, as they would join documents for o
 the slack covers them; else none. So no link is lost.
 
 Documents that agree in a part are candidates, and a bucket's pairs are never made as rows: each document is compared with
-its bucket's smallest; where a bucket then still spans several components, its documents' parity bits are compared in
-blocks inside tasks (2,048 bits for each, whose Hamming distance bounds the difference from below too), and only pairs that
+two of the smallest documents of its buckets; where a bucket then still spans several components, its documents' parity bits are compared in
+blocks inside tasks (2,048 bits or more for each, whose Hamming distance bounds the difference from below too), and only pairs that
 may still link components leave the task. Every pair is at last verified on the exact shingle sets of whole texts. Equal sets
 are one document until the end. Documents that share parts but no component cost comparisons by the square of their bucket.
 
@@ -126,10 +126,22 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, similarity: tuple[int, i
 
 
 def parity_bits(shingles: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """2,048 bits of each set, each the parity of the shingles that fall on it."""
+    """Parity bits of each set: a power of two of them, 2,048 at least and four for each shingle."""
+    width = np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64))
+    first = np.cumsum(width) - width
     doc = np.repeat(np.arange(len(sizes)), sizes)
-    bits = np.bincount(doc * BITS + (mixed(shingles) % np.uint64(BITS)).astype(np.int64), minlength=len(sizes) * BITS) & 1
-    return [x.tobytes() for x in np.packbits(bits.astype(np.uint8).reshape(-1, BITS), axis=1)]
+    at = first[doc] + (mixed(shingles) & (width[doc] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a : a + n] for a, n in zip((first // 8).tolist(), (width // 8).tolist(), strict=True)]
+
+
+def folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Parity bits of some sets as rows of `size` bytes: halves are XORed until they are that short."""
+    out = np.empty((len(bits), size // 8), np.uint64)
+    for i, b in enumerate(bits):
+        row = np.frombuffer(b, np.uint64)
+        out[i] = row if len(b) == size else np.bitwise_xor.reduce(row.reshape(-1, size // 8), axis=0)
+    return out
 
 
 class Join:
@@ -142,7 +154,7 @@ class Join:
         first = known.groupBy("set").agg(F.min("doc").alias("first"))
         #: edges from the smallest document with a set to the others
         self.equal = written(known.join(first, "set").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")), "equal")
-        self.sketches = known.groupBy("doc").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("bits").alias("bits"))
+        self.sketches = written(known.groupBy("doc").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("bits").alias("bits")), "sketches")
 
     def _sizes(self) -> DataFrame:
         words, k = self.words, self.k
@@ -184,8 +196,12 @@ class Join:
         def hold(batches):
             for batch in batches:
                 n = {x: batch.column(f"n_{x}").to_numpy() for x in "ab"}
-                bits = [np.frombuffer(b"".join(batch.column(f"bits_{x}").to_pylist()), np.uint64).reshape(-1, BITS // 64) for x in "ab"]
-                apart = np.bitwise_count(bits[0] ^ bits[1]).sum(1)
+                bits = {x: batch.column(f"bits_{x}").to_pylist() for x in "ab"}
+                width = np.array([min(len(x), len(y)) for x, y in zip(bits["a"], bits["b"], strict=True)], np.int64)
+                apart = np.zeros(len(width), np.int64)
+                for size in set(width.tolist()):
+                    at = np.flatnonzero(width == size).tolist()
+                    apart[at] = np.bitwise_count(folded([bits["a"][i] for i in at], size) ^ folded([bits["b"][i] for i in at], size)).sum(1)
                 near = (apart <= difference(n["a"] + n["b"], similarity)) & (np.minimum(n["a"], n["b"]) * similarity[1] >= np.maximum(n["a"], n["b"]) * similarity[0])
                 # rows that share an id have no one sketch
                 near |= (batch.column("rows_a").to_numpy() > 1) | (batch.column("rows_b").to_numpy() > 1)
@@ -222,7 +238,10 @@ class Join:
         """(doc, component) for each document that has a link; the component is its smallest document."""
         buckets = self.buckets()
         ends = buckets.groupBy("key").agg(F.min("doc").alias("a"))
-        pairs = buckets.join(ends, "key").where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
+        pairs = buckets.join(ends, "key").where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        # of a document's bucket ends the one of most buckets, and the smallest; what this leaves is compared below
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("most"), F.min("a").alias("least"))
+        pairs = best.select(F.explode(F.array_distinct(F.array("most", "least"))).alias("a"), "b")
         labels = components(self.verified(pairs).unionByName(self.equal))
         for spanning in (True, False):
             new = written(self.verified(self.apart(buckets, labels, spanning)), "edges")
@@ -268,7 +287,8 @@ def _pairs(held: list[pa.RecordBatch], similarity: tuple[int, int], spanning: bo
     """What apart() returns of one group of rows."""
     group = pa.Table.from_batches(held)
     doc, component, n, many, own = (group.column(c).to_numpy() for c in ("doc", "component", "n", "rows", "own"))
-    bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    bits = group.column("bits").to_pylist()
+    bits = folded(bits, min(map(len, bits)))
     across = group.column("p")[0] != group.column("q")[0]
     left, right, apart = [], [], []
     step = max(1, (1 << 19) // (len(doc) * bits.shape[1]))
