@@ -19,6 +19,7 @@ do not. A document must fit in one task's memory, about 12 bytes a token.
 from __future__ import annotations
 
 import functools
+import os
 import zlib
 from collections import Counter
 
@@ -33,7 +34,7 @@ from jsonloom.llm.common import LOWERED, PLAIN, blocks, texts, written
 LIMIT = 2048
 END = 0
 #: Words whose ids a task keeps.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 def default_tokenizer() -> str:
@@ -52,6 +53,8 @@ class Lexicon:
     WORDS_AT_ONCE = 2000
 
     def __init__(self, path: str):
+        # a task has one core, and each of the library's threads would keep memory of its own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
