@@ -85,7 +85,7 @@ class Shard:
             head = np.maximum.accumulate(np.where(first, np.arange(len(slots)), 0))
             at = array[slots]
             rank[at] = slots[head] + 1
-            tied = ~(first & np.r_[first[1:], True]) & (end[at] - at > span)
+            tied = ~(first & np.r_[first[1:], True]) & (end[at] - at >= span)  # of exactly `span` words: comes first
             slots = slots[tied]
             if span >= depth or not len(slots):
                 break

@@ -1,3 +1,4 @@
+import random
 import re
 
 from jsonloom.llm import decontaminate
@@ -76,3 +77,27 @@ def test_empty(spark, odd, none):
     assert decontaminate.matches(none, items_of(spark, odd)[1]).count() == 0
     assert all(not r["items"] for r in decontaminate.matches(odd, empty).collect())
     assert decontaminate.decontaminated(odd, empty).count() == odd.count()
+
+
+def test_cut_off_copies():
+    """Copies of an item that are cut off, or edited, after a few words: some suffixes have as many item words as the first keys hold."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{rng.randrange(1500)}" for _ in range(60))) for i in range(60)]
+    docs = [" ".join(items[0][1].split()[:10]), " ".join(items[0][1].split()[:5]) + " unknown"]
+    for _ in range(600):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            words = items[rng.randrange(12)][1].split()
+            at = rng.randrange(8)
+            parts += [*words[at : at + rng.choice([3, 4, 5, 6, 7, 8, 9, 9, 10, 14])], *rng.choice([[], ["unknown"], ["unknown", "w3"]])]
+        docs.append(" ".join(parts))
+    known = decontaminate.Items([(i, t.encode()) for i, t in items], 10)
+    assert len(known.vocabulary) > 1000
+    for of in (docs, docs[:2], docs[::-1]):
+        shard = decontaminate.Shard([split(t) for t in of], known)
+        order = [tuple(shard.numbers[p : p + known.depth].tolist()) for p in shard.array.tolist()]
+        cut = [o[: o.index(0)] if 0 in o else o for o in order]
+        assert cut == sorted(cut)
+        mask, found = shard.hits()
+        got = [(d, int(n), [tuple(s) for s in decontaminate.spans(mask[a : a + n]).tolist()], sorted(set(f))) for d, (a, n, f) in enumerate(zip(shard.starts, shard.sizes, found, strict=True))]
+        assert sorted(got, key=repr) == brute(list(enumerate(of)), items)
