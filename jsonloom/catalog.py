@@ -242,7 +242,7 @@ def foreach_running(spark, sf):
  UNION ALL SELECT p_partkey, 2, p_size * 4 FROM part WHERE p_size * 4 < 50 UNION ALL SELECT p_partkey, 3, p_size * 8 FROM part WHERE p_size * 8 < 50)""")
 def recurse_double(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("value"))
-    return streams.recurse(rows, "value", lambda v: v * 2, 3, lambda v: v < 50).select("p_partkey", "level", "value")
+    return streams.recurse(rows, "value", lambda v: v * 2, while_=lambda v: v < 50).select("p_partkey", "level", "value")
 
 
 @query("SELECT c.c_custkey, coalesce(o.o_orderkey, -1) AS value FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 300000) o ON c.c_custkey = o.o_custkey")

@@ -121,12 +121,32 @@ def foreach(df: DataFrame, order: list[str], by: list[str], **states: Column) ->
     return df.select(*df.columns, *[x.over(so_far).alias(name) for name, x in states.items()])
 
 
-def recurse(df: DataFrame, value: str, step: Callable[[Column], Column], depth: int, while_: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Each value, then what step makes of it, and so on, at most `depth` times or until null or the condition fails; the
-    level is in the column `level`. The levels are expressions of the row, so the input is read once."""
-    kind = dict(df.dtypes)[value]
+#: How many levels recurse() makes of a row at once.
+LEVELS = 16
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, computed once: in spark.checkpoint.dir, or cached where there is none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+
+
+def recurse(df: DataFrame, value: str, step: Callable[[Column], Column], depth: int | None = None, while_: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each value, then what step makes of it, and so on until null or the condition fails; the level is in the column
+    `level`. Some levels at once are expressions of the row, and rows that go on after them are the input of the next ones, so
+    it never ends where a value goes on forever. With `depth`, the levels after it are left out, and the input is read once."""
+    kind, rest = dict(df.dtypes)[value], [c for c in df.columns if c != value]
     alive = lambda v: v.isNotNull() if while_ is None else F.coalesce(while_(v), F.lit(False))
     following = lambda s: F.when(s.isNotNull(), let(step(s), lambda v: F.when(alive(v), v)))
-    states = arrays.running(arrays.places(F.lit(depth + 1)), F.lit(None), lambda s, i: F.when(i == 0, F.col(value)).otherwise(following(s)), kind)
-    rows = F.filter(states, lambda v, i: (i == 0) | v.isNotNull())
-    return df.select(*[c for c in df.columns if c != value], F.posexplode(rows).alias("level", value))
+    states = lambda n: arrays.running(arrays.places(F.lit(n + 1)), F.lit(None), lambda s, i: F.when(i == 0, F.col(value)).otherwise(following(s)), kind)
+    if depth is not None:
+        return df.select(*rest, F.posexplode(F.filter(states(depth), lambda v, i: (i == 0) | v.isNotNull())).alias("level", value))
+    found, start = [], 0
+    while True:
+        made = kept(df.select(*rest, states(LEVELS).alias("__states")))
+        # the first state of a later round is the last of the one before
+        levels = made.select(*rest, F.posexplode(F.filter("__states", lambda v, i: (i == 0) | v.isNotNull())).alias("level", value))
+        found.append(levels.where(F.col("level") >= (1 if start else 0)).withColumn("level", F.col("level") + start))
+        df = made.select(*rest, F.element_at("__states", LEVELS + 1).alias(value)).where(F.col(value).isNotNull())
+        if df.isEmpty():
+            return fold(DataFrame.unionByName, found)
+        start += LEVELS
