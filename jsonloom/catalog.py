@@ -392,7 +392,7 @@ def total_order_sort(spark, sf):
     part = F.col("event_id") % 4
     key = values.mixed_key(F.when(part == 2, F.col("value")), F.when(part == 3, F.col("event_type")), F.when(part == 1, F.lit(False)))
     rows = table(spark, sf, "events").select("event_id", key.alias("key"))
-    return groups.sort_by(rows, "key", "event_id", top=500).select("event_id", "key.kind", F.lit(True).alias("low"))
+    return groups.placed(rows, "key", "event_id").select("event_id", "key.kind", "place", (F.col("place") <= 500).alias("low"))
 
 
 # ---- strings, formats, regular expressions ----

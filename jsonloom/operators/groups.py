@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from jsonloom.operators.streams import kept
+
 
 def group_by(df: DataFrame, keys: list[Column], **aggregates: Column) -> DataFrame:
     return df.groupBy(*keys).agg(*[x.alias(name) for name, x in aggregates.items()])
@@ -60,3 +62,16 @@ def added(df: DataFrame, by: list[str], value: str, order: list[str], kind: str
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def placed(df: DataFrame, *keys: str, name: str = "place") -> DataFrame:
+    """Each row's place in the order of all, from 1, for keys that are distinct. Rows are dealt by ranges of the keys and numbered
+    in their range, after the counts of the ranges before it; no task sorts all."""
+    ranges = kept(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))  # once, as ranges are drawn by sample
+    counts, before = [], 0
+    for number, n in sorted(map(tuple, ranges.groupBy("__range").count().collect())):
+        counts.append((number, before))
+        before += n
+    starts = F.broadcast(df.sparkSession.createDataFrame(counts, "__range int, __before long"))
+    within = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return ranges.withColumn(name, within).join(starts, "__range").withColumn(name, F.col(name) + F.col("__before")).drop("__range", "__before")

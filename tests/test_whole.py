@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from test_queries import SF, TABLES, shown
 
 from jsonloom import catalog
-from jsonloom.operators import streams
+from jsonloom.operators import groups, streams
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,25 @@ def test_recurse_double(spark, duck):
     whole = "WITH RECURSIVE r AS (SELECT p_partkey, 0 AS level, CAST(p_size AS BIGINT) AS value FROM part UNION ALL SELECT p_partkey, level + 1, value * 2 FROM r WHERE value * 2 < 50) SELECT * FROM r"
     assert got == sorted(of_sql(duck, whole, columns))
     assert [r for r in got if r[1] <= 3] == sorted(of_sql(duck, catalog.ORACLES["recurse_double"], columns))
+
+
+def test_total_order_sort(spark, duck):
+    columns = ["event_id", "kind", "place"]
+    found = catalog.QUERIES["total_order_sort"](spark, SF)
+    whole = """SELECT event_id, kind, row_number() OVER (ORDER BY kind, CASE WHEN kind = 3 THEN value END NULLS FIRST, CASE WHEN kind = 4 THEN event_type END NULLS FIRST, event_id) AS place
+     FROM (SELECT *, CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END AS kind FROM events)"""
+    assert sorted(tuple(r) for r in found.select(columns).collect()) == sorted(of_sql(duck, whole, columns))
+    low = sorted(tuple(r) for r in found.where("low").select("event_id", "kind", "low").collect())
+    assert low == sorted(of_sql(duck, catalog.ORACLES["total_order_sort"], ["event_id", "kind", "low"]))
+
+
+def test_placed(spark):
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert groups.placed(df, "v").select(F.spark_partition_id()).distinct().count() > 1
+        assert sorted(map(tuple, groups.placed(df, "v").collect())) == [(i, i + 1) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(map(tuple, groups.placed(df, "v").collect())) == [(i, i + 1) for i in range(5000)]
+    assert groups.placed(df.where("v < 0"), "v").count() == 0
