@@ -169,8 +169,15 @@ def bessel_y(n: int, x: float, steps: int = 4000) -> float:
     return first - second / math.pi
 
 
+def tgamma(x: float) -> float:
+    """Infinite at zero, with its sign; NaN at the other poles."""
+    if x == 0:
+        return math.copysign(INFINITE, x)
+    return NAN if x < 0 and x == math.floor(x) else math.gamma(x)
+
+
 SPECIAL = {
-    "gamma": math.lgamma, "lgamma": math.lgamma, "tgamma": math.gamma, "erf": math.erf, "erfc": math.erfc, "nextafter": math.nextafter, "nexttoward": math.nextafter, "fma": math.fma,
+    "gamma": math.lgamma, "lgamma": math.lgamma, "tgamma": tgamma, "erf": math.erf, "erfc": math.erfc, "nextafter": math.nextafter, "nexttoward": math.nextafter, "fma": math.fma,
     "j0": lambda x: bessel_j(0, x), "j1": lambda x: bessel_j(1, x), "jn": lambda n, x: bessel_j(int(n), x), "y0": lambda x: bessel_y(0, x), "y1": lambda x: bessel_y(1, x), "yn": lambda n, x: bessel_y(int(n), x),
 }
 
