@@ -1,10 +1,7 @@
-"""Suffix-array dedup with sparse suffix arrays: passages of at least 50 words that repeat from a smaller document.
+"""Dedup at sparse minimisers: passages of at least 50 words that repeat from a smaller document.
 
-Of all suffixes only those at minimiser positions stay: the ten-word run of least hash among the 41 that any 50 words hold,
-about one in twenty. They are sorted by the hash of these ten words, in each block and then over all documents, and compared
-with their neighbours; a suffix that no neighbour shares the start with goes. Around each that stays, the match is extended
-left and right over all the 50-word windows that the suffix is the minimiser of: first all of them at once, and where no
-smaller document has these whole, window by window (see repeats). Windows that follow each other make one match.
+The same joins as those of the k-mer graph (see repeats), with windows of 50 words and minimisers of ten: no suffixes are
+sorted, and no match is extended word by word; windows are compared by 64-bit hashes. Windows that follow each other make one match.
 
 Defined results as for the k-mer graph: a null or empty text has no words; a document under 50 words keeps them all; of equal
 documents the one with the smallest id keeps its words; rows with equal or null ids are not compared with each other.
