@@ -139,6 +139,13 @@ def special(name: str, *args: Column) -> Column:
     return pandas_udf(_many(function), "double")(F.struct(*[a.cast("double").alias(f"a{i}") for i, a in enumerate(args)]))
 
 
+def lgamma_r(x: Column) -> Column:
+    """[logarithm of gamma's size, gamma's sign]; the sign is 1 at poles below zero."""
+    x = x.cast("double")
+    negative = (x.cast("string") == "-0.0") | ((x < 0) & (F.floor(x) != x) & (F.pmod(F.floor(x), F.lit(2)) == 1))
+    return F.when(x.isNotNull(), F.array(special("lgamma", x), F.when(negative, -1.0).otherwise(1.0)))
+
+
 def _many(function):
     import pandas as pd
 

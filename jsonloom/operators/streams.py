@@ -150,3 +150,14 @@ def recurse(df: DataFrame, value: str, step: Callable[[Column], Column], depth:
         if df.isEmpty():
             return fold(DataFrame.unionByName, found)
         start += LEVELS
+
+
+def while_(df: DataFrame, value: str, condition: Callable[[Column], Column], step: Callable[[Column], Column]) -> DataFrame:
+    """Each value, then what step makes of it, as long as the condition holds, the first included; with the column `level`."""
+    return recurse(df.where(condition(F.col(value))), value, step, while_=condition)
+
+
+def until(df: DataFrame, value: str, condition: Callable[[Column], Column], step: Callable[[Column], Column]) -> DataFrame:
+    """What step makes of each value, again and again, once the condition holds; no row where a step gives null before."""
+    held = lambda v: F.coalesce(condition(v), F.lit(False))
+    return recurse(df, value, lambda v: F.when(~held(v), step(v))).where(held(F.col(value))).drop("level")

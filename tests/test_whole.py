@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from test_queries import SF, TABLES, shown
 
 from jsonloom import catalog
+from jsonloom.functions import maths
 from jsonloom.operators import groups, streams
 
 
@@ -105,3 +106,13 @@ def test_math_unary(spark, duck, wide):
                 assert found[i][name] == -math.inf if v == -1 else math.isnan(found[i][name])
             else:
                 assert same_size(found[i][name], f(v))
+
+
+def test_lgamma_r_while_until(spark):
+    df = spark.createDataFrame([("a", 3.0), ("b", -0.5), ("c", -1.5), ("d", -2.0), ("e", None)], "k string, v double")
+    got = {r.k: r.x for r in df.select("k", maths.lgamma_r(F.col("v")).alias("x")).collect()}
+    assert got == {"a": [math.lgamma(3), 1.0], "b": [math.lgamma(-0.5), -1.0], "c": [math.lgamma(-1.5), 1.0], "d": [math.inf, 1.0], "e": None}
+    df = spark.createDataFrame([("a", 1), ("b", 70), ("c", 200)], "k string, v int")
+    grown = streams.while_(df, "v", lambda v: v < 100, lambda v: v * 3)
+    assert sorted((r.k, r.v) for r in grown.collect()) == [*[("a", 3**i) for i in range(5)], ("b", 70)]
+    assert sorted(map(tuple, streams.until(df, "v", lambda v: v >= 100, lambda v: v + 1).collect())) == [("a", 100), ("b", 100), ("c", 200)]
