@@ -74,9 +74,9 @@ def repeated_anchors(docs: DataFrame, words: Words, window: int, anchor: int) ->
                 pa.array(np.r_[least[first], least[told]].view(np.int64)), pa.array(np.r_[np.zeros(int(first.sum()), np.int64), salts(ids[told])]), pa.array(np.r_[ids[first], ids[told]]),
             ], names=["hash", "salt", "doc"])
 
-    dealt = docs.where("doc_id is not null").mapInArrow(deal, "hash long, salt long, doc long").repartition("hash", "salt")
+    dealt = docs.where("doc_id is not null").mapInArrow(deal, "hash long, salt long, doc long").where("hash is not null and salt is not null").repartition("hash", "salt")
     again = dealt.groupBy("hash", "salt").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("salt <> 0 or low < high").select("hash", "salt")
-    told = dealt.join(again, ["hash", "salt"], "left_semi")
+    told = dealt.join(again, ["hash", "salt"])  # an inner join, as a semi-join would be planned before the exchange
     return told.groupBy("doc").agg(F.collect_list("hash").alias("anchors")).withColumnRenamed("doc", "doc_id")
 
 

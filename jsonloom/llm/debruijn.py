@@ -106,20 +106,18 @@ def unitigs(chains: DataFrame) -> DataFrame:
     # runs of different sources: each points to the one before, then twice as far, until all point to a first one
     before = runs.select(F.col("hash").alias("prev"), F.col("src").alias("up_src"), F.col("run").alias("up"), (F.col("at") + F.col("n") - F.col("run")).alias("gap"))
     up = written(runs.where("not goes_on and prev is not null").join(before, "prev").select("src", "run", "up_src", "up", "gap"), "ups")
-    left, rounds = up.count(), 0
-    # a ring has no first run; after as many rounds as a path can need, what is left is rings, and their runs stay apart
-    while left and rounds < left.bit_length() + 1:
+    left = up.count()
+    while left:
         far = up.select(F.col("src").alias("up_src"), F.col("run").alias("up"), F.col("up_src").alias("far_src"), F.col("up").alias("far"), F.col("gap").alias("more"))
         step = up.join(far, ["up_src", "up"], "left")
         step = step.select("src", "run", F.coalesce("far_src", "up_src").alias("up_src"), F.coalesce("far", "up").alias("up"), (F.col("gap") + F.coalesce("more", F.lit(0))).alias("gap"), F.col("far").isNotNull().alias("moved"))
         step = written(step, "ups", done=(up,))
         moved, up = step.where("moved").count(), step.drop("moved")
-        rounds += 1
-        if not moved:
+        if moved == left:
+            # each round settles some run of a path; what is left are rings, which have no first run, and their runs stay apart
+            up = up.join(up.select(F.col("src").alias("up_src"), F.col("run").alias("up")), ["up_src", "up"], "left_anti")
             break
-    else:
-        inner = up.select(F.col("src").alias("up_src"), F.col("run").alias("up"))
-        up = up.join(inner, ["up_src", "up"], "left_anti")
+        left = moved
     out = runs.join(up, ["src", "run"], "left")
     return out.select("hash", "src", "at", "n", F.coalesce("up_src", "src").alias("unitig_src"), F.coalesce("up", "run").alias("unitig_at"), (F.coalesce("gap", F.lit(0)) + F.col("at") - F.col("run")).alias("before"))
 
@@ -256,17 +254,18 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     some = docs.where("doc_id is not null")
     anchors = written(repeated_anchors(docs, words, window, anchor), "anchors")
     placed = some.join(anchors, "doc_id")
-    chains = written(chain_rows(placed.select("doc_id", "text", "anchors"), words, window, anchor), "chains")
+    chains = written(chain_rows(placed, words, window, anchor), "chains")
     graph = written(unitigs(chains), "unitigs")
     # the chains of each document that a smaller one has, by the unitigs' coordinates
     known = chains.join(graph.select("hash", F.lit(0).cast("long").alias("salt"), F.col("src").alias("first"), F.col("at").alias("place")), ["hash", "salt"], "left")
     told = known.where("salt <> 0 or first < doc").select("doc", "hash", F.when(F.col("salt") == 0, F.col("first")).otherwise(F.col("src")).alias("src"), F.when(F.col("salt") == 0, F.col("place")).otherwise(F.col("at")).alias("at"))
     known = placed.join(found_by_doc(told, "chains"), "doc_id", "left")
-    edges = edge_rows(known.select("doc_id", "text", "anchors", "chains"), words, window, anchor).repartition("hash", "salt")
-    least = edges.groupBy("hash", "salt").agg(F.min("src").alias("first"), F.min_by("at", "src").alias("place"))
-    told = edges.join(least, ["hash", "salt"]).where("first < doc").select("doc", "hash", F.col("first").alias("src"), F.col("place").alias("at"))
+    edges = edge_rows(known, words, window, anchor).where("hash is not null and salt is not null and doc is not null").repartition("hash", "salt")
+    # both sides take all columns and filter none, so that the edges are made and dealt once
+    least = edges.groupBy("hash", "salt").agg(F.min("src").alias("first"), F.min_by("at", "src").alias("place"), F.max("doc").alias("high")).where("first < high").drop("high")
+    told = edges.join(least, ["hash", "salt"]).where("first < doc").select("doc", "hash", F.least("first", "src").alias("src"), F.when(F.col("first") < F.col("src"), F.col("place")).otherwise(F.col("at")).alias("at"))
     known = known.join(found_by_doc(told, "edges"), "doc_id", "left")
-    spans = written(span_rows(known.select("doc_id", "key", "text", "anchors", "chains", "edges"), words, window, anchor), "spans", done=(anchors, chains, graph))
+    spans = written(span_rows(known, words, window, anchor), "spans", done=(anchors, chains, graph))
     bad = written(failed(some, spans, words, window), "failed")
     removed = spans.select("doc_id", "key", "removed")
     if not bad.isEmpty():
