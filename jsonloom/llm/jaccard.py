@@ -18,19 +18,22 @@ are one document until the end. Documents that share parts but no component cost
 
 Defined results: a document of fewer words than a shingle has its whole word sequence as its one shingle; without words it
 has none and is a component of its own, as is a row with a null id (null); rows with equal ids are one document, linked with
-what any of them is linked with. Shingles are compared by 64-bit hashes.
+what any of them is linked with; an empty table gives no rows; other columns than the id and the text are not read, so their names
+can't clash; a very long text must fit in one task's memory. Hashes of 64 bits find candidates, sizes and parities; a link is
+made by the words of both texts, and equal sets by a digest of 128 bits, of their words if they have up to FEW shingles.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import LOWERED, Words, blocks, id_text, joined, mixed, texts, window_hashes, window_starts, written
+from jsonloom.llm.common import LOWERED, Words, blocks, id_text, joined, mixed, texts, window_starts, written
 
 #: Shingle length, and similarity as a fraction.
 SHINGLE, SIMILARITY = 4, (85, 100)
@@ -55,19 +58,25 @@ def collapsed(hashes: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(docs[first]), more], names=["hash", "doc", "more"])
 
 
-def shingle_sets(rows: list[bytes | None], words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct shingle hashes of all documents, one after the other, and their numbers."""
+def shingle_sets(rows: list[bytes | None], words: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct shingle hashes of all documents, one after the other, their numbers, and the numbers of words."""
     hashes, counts = words.of(rows)
     start, number = window_starts(counts, k)
-    all_ = window_hashes(hashes, k)[start]
+    all_ = words.runs(hashes, k)[start]
     sets, at, first = [], 0, 0
     for n, m in zip(counts.tolist(), number.tolist(), strict=True):
         if m:
             sets.append(np.unique(all_[at : at + m]))
         else:
-            sets.append(window_hashes(hashes[first : first + n], n) if n else np.empty(0, np.uint64))
+            sets.append(words.runs(hashes[first : first + n], n) if n else np.empty(0, np.uint64))
         at, first = at + m, first + n
-    return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.array([len(s) for s in sets], np.int64)
+    return (np.concatenate(sets) if sets else np.empty(0, np.uint64)), np.array([len(s) for s in sets], np.int64), counts
+
+
+def exact_set(text: bytes, words: Words, k: int) -> set[bytes]:
+    """The shingles of a text as their words."""
+    own = words.shown(text).split()
+    return {b" ".join(own[i : i + k]) for i in range(max(len(own) - k + 1, 1))} if own else set()
 
 
 def bands(similarity: tuple[int, int], most: int) -> list[int]:
@@ -83,15 +92,19 @@ def difference(total: int | np.ndarray, similarity: tuple[int, int]) -> int | np
     return total * (similarity[1] - similarity[0]) // (similarity[1] + similarity[0])
 
 
-def set_ids(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for an empty one."""
-    first = np.cumsum(sizes) - sizes
-    sums = np.r_[np.uint64(0), np.cumsum(mixed(shingles))]
-    xors = np.zeros(len(sizes), np.uint64)
-    if len(shingles):
-        some = sizes > 0
-        xors[some] = np.bitwise_xor.reduceat(joined(shingles, shingles), first[some])
-    return np.where(sizes > 0, joined(sums[first + sizes] - sums[first], joined(xors, sizes.astype(np.uint64))), np.uint64(0))
+#: Sets of so few shingles are told apart by their words, as one collision of hashes could make two such sets equal.
+FEW = 8
+
+
+def set_ids(rows: list[bytes | None], shingles: np.ndarray, sizes: np.ndarray, words: Words, k: int) -> list[bytes | None]:
+    """A digest of each set, of its words if they are few; null for an empty one."""
+    out, ends = [], np.cumsum(sizes).tolist()
+    for text, n, end in zip(rows, sizes.tolist(), ends, strict=True):
+        if n > FEW:
+            out.append(hashlib.blake2b(shingles[end - n : end].tobytes(), digest_size=16).digest())
+        else:
+            out.append(hashlib.blake2b(b"\n".join(sorted(exact_set(text, words, k))), digest_size=16).digest() if n else None)
+    return out
 
 
 def signatures(shingles: np.ndarray, sizes: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +177,8 @@ class Join:
         self.docs, self.words, self.k, self.similarity = docs, words, k, similarity
         self.all = written(self._sizes(), "sizes")
         known = self.all.where("doc is not null and n > 0")
-        first = known.groupBy("set").agg(F.min("doc").alias("first"))
+        # written, so that the join has exchanges of its own, whose hot parts adaptive execution can split
+        first = written(known.groupBy("set").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("set", "first"), "firsts")
         #: edges from the smallest document with a set to the others
         self.equal = written(known.join(first, "set").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b")), "equal")
         self.sketches = written(known.groupBy("doc").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("rows"), F.any_value("bits").alias("bits")), "sketches")
@@ -174,10 +188,11 @@ class Join:
 
         def measure(batches):
             for rows in blocks(batches):
-                shingles, sizes = shingle_sets(texts(rows), words, k)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(set_ids(shingles, sizes).view(np.int64)), pa.array(parity_bits(shingles, sizes), pa.binary())], names=["doc", "n", "set", "bits"])
+                own = texts(rows)
+                shingles, sizes, _ = shingle_sets(own, words, k)
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id").combine_chunks(), pa.array(sizes), pa.array(set_ids(own, shingles, sizes, words, k), pa.binary()), pa.array(parity_bits(shingles, sizes), pa.binary())], names=["doc", "n", "set", "bits"])
 
-        return self.docs.mapInArrow(measure, "doc long, n long, set long, bits binary")
+        return self.docs.mapInArrow(measure, "doc long, n long, set binary, bits binary")
 
     def buckets(self) -> DataFrame:
         """(key, doc): where different sets agree in a part; of equal sets the first, of equal buckets one."""
@@ -185,7 +200,7 @@ class Join:
 
         def sign(batches):
             for rows in blocks(batches):
-                key, doc = signatures(*shingle_sets(texts(rows), words, k), similarity)
+                key, doc = signatures(*shingle_sets(texts(rows), words, k)[:2], similarity)
                 made = collapsed(key, rows.column("doc_id").to_numpy()[doc])
                 for at in range(0, made.num_rows, 200_000):
                     yield made.slice(at, 200_000)
@@ -193,13 +208,14 @@ class Join:
         single = self.sketches.where("rows = 1").select("doc")
         copies = self.equal.select(F.col("b").alias("doc")).join(single, "doc", "left_semi").select(F.col("doc").alias("doc_id"))
         copies = F.broadcast(copies) if copies.count() <= BROADCAST_IDS else copies
-        dealt = self.docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").mapInArrow(sign, DEALT)
-        shared = dealt.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("hash"))).where("n > 1 or more is not null")
-        rows = shared.select("hash", F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc"))
-        # a bucket by the documents in it
-        bucket = Window.partitionBy("hash")
-        of = [F.count(F.lit(1)).over(bucket), F.bit_xor(F.xxhash64("doc")).over(bucket), F.bit_xor(F.xxhash64("doc", F.lit(1))).over(bucket)]
-        return written(rows.select(F.xxhash64(*of).alias("key"), "doc").distinct(), "buckets")
+        dealt = self.docs.where("doc_id is not null").join(copies, "doc_id", "left_anti").mapInArrow(sign, DEALT).where("hash is not null").repartition("hash")
+        # a bucket is named by the documents in it; its rows are only read in passing, so that a hot one takes no memory
+        def folded_ids(salt: int):
+            return F.aggregate(F.coalesce("more", F.array().cast("array<long>")), F.xxhash64("doc", F.lit(salt)), lambda s, d: s.bitwiseXOR(F.xxhash64(d, F.lit(salt))))
+
+        bucket = dealt.groupBy("hash").agg(F.sum(F.lit(1) + F.coalesce(F.size("more"), F.lit(0))).alias("n"), *[F.bit_xor(folded_ids(i)).alias(f"x{i}") for i in (0, 1)]).where("n > 1")
+        rows = dealt.join(bucket, "hash").select(F.xxhash64("n", "x0", "x1").alias("key"), F.explode(F.concat(F.array("doc"), F.coalesce("more", F.array().cast("array<long>")))).alias("doc"))
+        return written(rows.distinct(), "buckets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) that are similar."""
@@ -236,13 +252,21 @@ class Join:
                     kept[doc] = (text, shingle_sets([text], words, k)[0])
                 return kept[doc][1]
 
+            def holds(common: int, left: int, right: int) -> bool:
+                return common * similarity[1] >= similarity[0] * (left + right - common)
+
             for batch in batches:
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 same = []
                 for i, s, j, t in zip(a, texts(batch, "text_a"), b, texts(batch, "text_b"), strict=True):
                     left, right = shingles(i, s), shingles(j, t)
                     common = len(np.intersect1d(left, right, assume_unique=True))
-                    same.append(common * similarity[1] >= similarity[0] * (len(left) + len(right) - common))
+                    # a link is held by the words themselves
+                    link = holds(common, len(left), len(right))
+                    if link:
+                        x, y = exact_set(s, words, k), exact_set(t, words, k)
+                        link = holds(len(x & y), len(x), len(y))
+                    same.append(link)
                 yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
         return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import LOWERED, PLAIN, blocks, texts, written
+from jsonloom.llm.common import LOWERED, PLAIN, alike, blocks, texts, written
 
 LIMIT = 2048
 END = 0
@@ -64,6 +64,21 @@ class Lexicon:
     def _empty(self) -> None:
         self.hash, self.number = np.empty(0, np.uint64), np.empty(0, np.int32)
         self.ids, self.start, self.length = np.full(1, END, np.uint32), np.zeros(1, np.int32), np.ones(1, np.int32)
+        # the words themselves, by number: a word is taken for a known one only if all its bytes are the same
+        self.bytes, self.low, self.high = np.full(8, 0x20, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _add(self, data: np.ndarray, shown: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes words and gives them the next numbers."""
+        flat, sizes = self._new(data, start, end)
+        self.start = np.r_[self.start, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)]
+        self.length = np.r_[self.length, sizes.astype(np.int32)]
+        self.ids = np.concatenate([self.ids, flat])
+        width = end - start
+        low = len(self.bytes) - 8 + np.cumsum(width) - width
+        inner = np.arange(int(width.sum()))
+        put = shown[inner + np.repeat(start - (np.cumsum(width) - width), width)]
+        self.bytes = np.concatenate([self.bytes[:-8], put, np.full(8, 0x20, np.uint8)])
+        self.low, self.high = np.r_[self.low, low], np.r_[self.high, low + width]
 
     def _encoded(self, texts_: list[str]) -> list[int]:
         return [i for x in self.tokenizer.encode_batch_fast(texts_, add_special_tokens=False) for i in x.ids]
@@ -90,14 +105,15 @@ class Lexicon:
         """Ids of all documents, each with END behind it, and each document's count."""
         if len(self.hash) > KEPT_WORDS:
             self._empty()
-        joined = b" ".join([*documents, b""])
+        joined = b" ".join([*documents, b" " * 8])
         data, ends = np.frombuffer(joined, np.uint8), np.cumsum([len(d) + 1 for d in documents], dtype=np.int64)
         cut = PLAIN if b"<|" in joined else LOWERED
+        shown = np.frombuffer(cut.shown(joined), np.uint8)
         start, end = cut.spans(data)
         if len(start):
             stopped = np.flatnonzero(STOP[data[end - 1]] & (end - start > 1) & ALNUM[data[np.maximum(end - 2, 0)]])
             start, end = _split(start, end, stopped)
-        hashes, counts = cut.hashes(data, start, end), np.diff(np.searchsorted(start, np.r_[0, ends]))
+        hashes, counts = cut.hashes(shown, start, end), np.diff(np.searchsorted(start, np.r_[0, ends]))
         # the distinct words of these documents, where each first stands, and their numbers
         distinct, first, same = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.hash, distinct), max(len(self.hash) - 1, 0))
@@ -105,15 +121,21 @@ class Lexicon:
         number = np.where(new, 0, self.number[at] if len(self.hash) else 0).astype(np.int32)
         if new.any():
             number[new] = len(self.start) + np.arange(int(new.sum()))
-            flat, sizes = self._new(data, start[first[new]], end[first[new]])
-            self.start = np.r_[self.start, (len(self.ids) + np.cumsum(sizes) - sizes).astype(np.int32)]
-            self.length = np.r_[self.length, sizes.astype(np.int32)]
-            self.ids = np.concatenate([self.ids, flat])
+            self._add(data, shown, start[first[new]], end[first[new]])
             self.hash, self.number = np.concatenate([self.hash, distinct[new]]), np.concatenate([self.number, number[new]])
             order = np.argsort(self.hash)
             self.hash, self.number = self.hash[order], self.number[order]
+        number = number[same]
+        odd = np.flatnonzero(~alike(shown, start, end, self.bytes, self.low[number], self.high[number]))
+        if len(odd):
+            # other words with the hash of a known one: they get numbers of their own, for now
+            own: dict[bytes, int] = {}
+            place = np.array([own.setdefault(shown[start[i] : end[i]].tobytes(), len(own)) for i in odd.tolist()], np.int32)
+            _, each = np.unique(place, return_index=True)
+            number[odd] = len(self.start) + place
+            self._add(data, shown, start[odd[each]], end[odd[each]])
         words = np.zeros(len(hashes) + len(documents), np.int32)
-        words[np.arange(len(hashes)) + np.repeat(np.arange(len(documents)), counts)] = number[same]
+        words[np.arange(len(hashes)) + np.repeat(np.arange(len(documents)), counts)] = number
         sizes = self.length[words]
         total = np.r_[0, np.cumsum(sizes, dtype=np.int64)]
         ids = self.ids[np.arange(int(total[-1])) + np.repeat(self.start[words] - total[:-1], sizes)]

@@ -2,7 +2,10 @@ import random
 
 import pytest
 
+from test_repeats import MORSE, THUE
+
 from jsonloom.llm import jaccard
+from jsonloom.llm.common import WHITE, Words
 
 
 def brute(rows, k, similarity):
@@ -58,3 +61,13 @@ def test_empty(none):
 def test_stars(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (3, 9), (9, 1), (7, 8), (8, 8)], "a long, b long")
     assert sorted(map(tuple, jaccard.components(edges).collect())) == [(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (8, 7), (9, 1)]
+
+
+def test_words_that_collide(spark):
+    rows = [(1, THUE), (2, MORSE), (3, THUE.upper()), (4, f"{THUE} b c d e"), (5, f"{MORSE} b c d e")]
+    got = sorted(tuple(r) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1), (2, 1, 2), (3, 1, 1), (4, 2, 4), (5, 2, 5)]
+    # hashes of few bits: what is linked still shares its words
+    few = [(i, f"word{i} of{i} text{i} number{i}") for i in range(300)] + [(300, "word7 of7 text7 number7")]
+    got = dict((r.doc_id, r.component_id) for r in jaccard.linked(spark.createDataFrame(few, "doc_id long, text string"), words=Words(WHITE, True, bits=10)).collect())
+    assert got == {**{i: i for i in range(300)}, 300: 7}

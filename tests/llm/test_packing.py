@@ -3,7 +3,10 @@ import zlib
 import numpy as np
 from tokenizers import Tokenizer
 
+from test_repeats import MORSE, THUE
+
 from jsonloom.llm import packing
+from jsonloom.llm.common import WHITE, Words
 
 
 def check(rows, found, limit):
@@ -58,3 +61,14 @@ def test_plan():
         assert plan.sequences <= -(-int(lengths.sum()) // 100) * 1.05 + 2
     assert packing.complement(10, np.array([0, 0, 0, 1, 0, 0, 0, 1, 0, 0, 0])) == [7, 3]
     assert packing.complement(10, np.array([0, 0, 1, 1, 0, 1, 0, 0, 0, 0, 0])) == [5, 3, 2]
+
+
+def test_words_that_hash_alike(monkeypatch):
+    """With hashes of ten bits most words meet another's hash; ids stay those of the tokenizer."""
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"word{rng.integers(3000)}" for _ in range(400)).encode() for _ in range(6)] + [THUE.encode(), MORSE.encode()]
+    monkeypatch.setattr(packing, "LOWERED", Words(WHITE, True, bits=10))
+    lexicon, tokenizer = packing.Lexicon(packing.default_tokenizer()), Tokenizer.from_file(packing.default_tokenizer())
+    for _ in range(2):
+        ids, counts = lexicon.encode(texts)
+        assert ids.tolist() == [x for t in texts for x in [*tokenizer.encode(t.decode(), add_special_tokens=False).ids, 0]]
