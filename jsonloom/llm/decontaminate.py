@@ -3,11 +3,12 @@
 Each task makes suffix arrays of its own documents, some MB of text at a time (a shard). All suffixes of all test items are
 found in them by binary search, which gives their longest verbatim matches and where these are. A document that holds a
 window of an item (`window` consecutive words; all words of a shorter item) is affected, and decontaminated() removes it.
-Documents are never shuffled. The items are broadcast in blocks of at most ITEM_BYTES of text, one pass for each block.
+Documents are never shuffled. The items are broadcast in blocks of at most ITEM_BYTES of text, one pass for each block, and at
+most PASSES blocks at a time.
 
 Words: see WORDS; ASCII letters are lower-cased. Defined results: a null or empty text has no words, is never affected and
 is kept; an item without words matches nothing; repeated rows, of documents or of items, count each for itself; without
-items, nothing is affected. A document must fit in one task's memory, about 40 bytes for each word.
+items, nothing is affected; an empty table gives no rows; other columns stay as they are, whatever their names. A document must fit in one task's memory, about 40 bytes for each word.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jsonloom.llm.common import blocks, texts
+from jsonloom.llm.common import blocks, texts, written
 
 #: A word is a run of these bytes: digits, letters, and all bytes of other than ASCII characters.
 WORDS = bytes(b for b in range(256) if b >= 0x80 or chr(b).isalnum())
 SPACED = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if b in WORDS else 0x20 for b in range(256))
 WINDOW = 10
 ITEM_BYTES = 32 << 20
+#: Passes that one job makes over the documents; then what they have found is written, and the blocks sent so far are let go.
+PASSES = 4
 RESULT = "doc_id long, n_words long, hits array<struct<start:int,length:int>>, items array<long>"
 
 
@@ -179,11 +182,25 @@ def item_blocks(items: DataFrame, item_id: str, text: str, window: int) -> Itera
         yield Items([(r.item_id, bytes(r.text) if r.text is not None else None) for r in block.collect()], window)
 
 
+def _let_go(found: DataFrame, sent: list) -> DataFrame:
+    """found, written once PASSES blocks of items are out; these are given back."""
+    if len(sent) < PASSES:
+        return found
+    found = written(found, "passes")
+    for block in sent:
+        block.unpersist()
+    sent.clear()
+    return found
+
+
 def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """For each document (a row each, RESULT): its words, the runs of them that are hit, and the items that hit it, sorted."""
     found = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,length:int>>").alias("hits"), F.array().cast("array<long>").alias("items"))
+    out: list = []
     for block in item_blocks(items, item_id, item_text, window):
+        found = _let_go(found, out)
         sent = docs.sparkSession.sparkContext.broadcast(block)
+        out.append(sent)
 
         def search(batches, sent=sent):
             for rows in blocks(batches):
@@ -207,8 +224,11 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of docs that no item hits, with all their columns."""
+    out: list = []
     for block in item_blocks(items, item_id, item_text, window):
+        docs = _let_go(docs, out)
         sent = docs.sparkSession.sparkContext.broadcast(block)
+        out.append(sent)
 
         def keep(batches, sent=sent):
             for rows in blocks(batches, text):

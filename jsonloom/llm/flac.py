@@ -422,40 +422,48 @@ def padded_payload(text: bytes | None) -> bytes:
 
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
-    """docs and a binary column: the FLAC stream of each text, padded with spaces to a positive multiple of 192 bytes."""
+    """docs and a binary column: the FLAC stream of each text, padded with spaces to a positive multiple of 192 bytes. A column
+    of docs that has its name gives way to it."""
 
     def encode(batches: Iterator[pa.RecordBatch]):
         for rows in blocks(batches, text, 2 << 20):
             made = streams([padded_payload(t) for t in texts(rows, text)])
             yield from rows.append_column(media, pa.array(made, pa.binary())).combine_chunks().to_batches()
 
+    docs = docs.drop(media)
     schema = docs.schema
     return docs.mapInArrow(encode, type(schema)([*schema.fields]).add(media, "binary"))
 
 
-def pcm_blocks(media: DataFrame, key: str, column: str = "media", frames: int = SEEK_EVERY) -> DataFrame:
+def pcm_blocks(media: DataFrame, key: str, column: str = "media", frames: int = SEEK_EVERY, others: tuple[str, ...] = ()) -> DataFrame:
     """The PCM of each stream in blocks of `frames` frames: key, block, sample_offset, byte_offset (of the block's first frame
-    in the stream), n_samples and pcm (unsigned 8-bit)."""
+    in the stream), n_samples and pcm (unsigned 8-bit), and `others`, columns that go along. A stream's blocks are rows that follow
+    each other, from block 0 on; a null stream has none."""
     kind = media.schema[key].dataType.simpleString()
+    types = [media.schema[c].dataType.simpleString() for c in others]
 
     def decode(batches):
         for rows in blocks(batches, column, 2 << 20):
             keys, streams_ = rows.column(key).to_pylist(), rows.column(column).to_pylist()
             keep = [i for i, s in enumerate(streams_) if s is not None]
-            out = []
+            out, number = [], []
             for i, (payload, starts) in zip(keep, decoded([streams_[i] for i in keep]), strict=True):
                 for b, first in enumerate(range(0, len(starts), frames)):
                     pcm = payload[first * N : (first + frames) * N]
                     out.append((keys[i], b, first * N, int(starts[first]), len(pcm), pcm))
+                    number.append(i)
             columns = list(zip(*out, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (rows.schema.field(key).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "block", "sample_offset", "byte_offset", "n_samples", "pcm"])
+            own = [pa.array(c, t) for c, t in zip(columns, (rows.schema.field(key).type, pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)]
+            along = [rows.column(f"o{i}").combine_chunks().take(pa.array(number, pa.int64())) for i in range(len(others))]
+            yield pa.RecordBatch.from_arrays([*own, *along], names=["key", "block", "sample_offset", "byte_offset", "n_samples", "pcm", *others])
 
-    found = media.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias(column)).mapInArrow(decode, f"key {kind}, block int, sample_offset long, byte_offset long, n_samples int, pcm binary")
+    chosen = media.select(F.col(f"`{key}`").alias(key), F.col(f"`{column}`").alias(column), *[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(others)])
+    found = chosen.mapInArrow(decode, ", ".join(["key " + kind, "block int", "sample_offset long", "byte_offset long", "n_samples int", "pcm binary", *[f"`{c}` {t}" for c, t in zip(others, types, strict=True)]]))
     return found.withColumnRenamed("key", key)
 
 
 def read_back(media: DataFrame, column: str = "media", payload: str = "payload") -> DataFrame:
-    """media and a binary column: the decoded payload of each stream, null for null."""
+    """media and a binary column: the decoded payload of each stream, null for null. A column that has its name gives way to it."""
 
     def decode(batches):
         for rows in blocks(batches, column, 2 << 20):
@@ -466,6 +474,7 @@ def read_back(media: DataFrame, column: str = "media", payload: str = "payload")
                 made[i] = data
             yield from rows.append_column(payload, pa.array(made, pa.binary())).combine_chunks().to_batches()
 
+    media = media.drop(payload)
     schema = media.schema
     return media.mapInArrow(decode, type(schema)([*schema.fields]).add(payload, "binary"))
 
@@ -484,15 +493,33 @@ def feature(payload: bytes) -> str:
 
 
 def digests(documents: DataFrame) -> DataFrame:
+    """Texts are stored as streams, these read back as PCM blocks, and the payload put together by the blocks' sample offsets."""
     stored = with_media(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).withColumn("n_bytes", F.octet_length("text").cast("long")).drop("text")
+    stored = stored.withColumn("media_bytes", F.octet_length("media").cast("long")).withColumn("media_sha256", F.sha2("media", 256))
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def row(held: tuple, parts: list[bytes]) -> tuple:
+        payload = b"".join(parts)
+        return *held[:2], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *held[2:], feature(payload)
 
     def describe(batches):
+        held, parts, size = None, [], 0
         for batch in batches:
-            payloads = batch.column("payload").to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
-                pa.array([zlib.crc32(p[-16:]) for p in payloads], pa.int64()), batch.column("media_bytes"), batch.column("media_sha256"), pa.array([feature(p) for p in payloads], pa.string()),
-            ], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    back = read_back(stored).select("doc_id", "n_bytes", "payload", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    return back.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            made = []
+            for pcm, block, offset, *along in zip(*(batch.column(c).to_pylist() for c in ("pcm", "block", "sample_offset", "doc_id", "n_bytes", "media_bytes", "media_sha256")), strict=True):
+                if block == 0:
+                    if held:
+                        made.append(row(held, parts))
+                    held, parts, size = tuple(along), [], 0
+                if offset != size:
+                    raise ValueError("a block of samples is missing")
+                parts.append(pcm)
+                size += len(pcm)
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names=names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(held, parts), types, strict=True)], names=names)
+
+    read = pcm_blocks(stored, "doc_id", others=("n_bytes", "media_bytes", "media_sha256"))
+    return read.mapInArrow(describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -1,23 +1,24 @@
 """Language identification in two steps: the family first, then one-versus-one linear SVMs inside the family.
 
 Features are hashed byte trigrams of the lower-cased whole text, square-rooted and normalised. The classifier is fitted on
-the driver from a bounded sample: about SAMPLE documents of each language, chosen by a hash of their text, at most LANGUAGES
-languages. Prediction reads each text once, where it lies; nothing is shuffled.
+the driver from a bounded sample: about SAMPLE documents of each language, chosen by a hash of their text, fewer where there are
+so many languages that it would be over TOTAL texts. Of more than LANGUAGES labels those with the most texts are learned.
+Prediction reads each text once, where it lies; nothing is shuffled.
 
 FAMILIES says which languages are related; a language that it doesn't name is a family of its own. The family is the one
 whose linear one-versus-rest classifier is surest; inside it, each pair of languages votes by its SVM.
 
 Defined results: `und` with score 0 for a null text or one without any letter; with no labelled rows at all, every text is
 `und`; the score is the chosen family's probability times the mean probability of the winner in its pairs; of equal votes the
-sum of margins decides, then the language's name. Equal texts are judged alike.
+sum of margins decides, then the language's name. Equal texts are judged alike. Columns named as the two new ones give way to
+them; an empty table gives no rows. A very long text is read whole, and must fit in one task's memory.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +26,11 @@ from jsonloom.llm.common import blocks
 
 BUCKETS = 1 << 12
 SAMPLE = 400
-LANGUAGES = 100
-LETTER = re.compile(r"[^\W\d_]")
+LANGUAGES = 300
+#: Texts of the sample in all, and of those of a language at least.
+TOTAL, LEAST = 10_000, 30
+#: Letters by Unicode's categories L*: no digits, fractions or Roman numerals.
+LETTER = regex.compile(r"\p{L}")
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"), "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"), "uralic": ("fi", "et", "hu"), "turkic": ("tr", "az", "kk"),
@@ -69,7 +73,9 @@ class Model:
         names = {lang: next((f for f, members in FAMILIES.items() if lang in members), lang) for lang in sorted(set(langs))}
         self.families = {f: [x for x in names if names[x] == f] for f in sorted(set(names.values()))}
         lang, family = np.array(langs, object), np.array([names[x] for x in langs], object)
-        self.by_family = [svm(rows, np.where(family == f, 1.0, -1.0)) for f in self.families] if len(self.families) > 1 else []
+        # many languages have few texts each, and get fewer rounds
+        rounds = 40 if len(names) <= 40 else 8
+        self.by_family = [svm(rows, np.where(family == f, 1.0, -1.0), rounds=rounds) for f in self.families] if len(self.families) > 1 else []
         self.by_pair = []
         for f, members in enumerate(self.families.values()):
             for i, a in enumerate(members):
@@ -106,11 +112,11 @@ class Model:
 def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model | None:
     """A model of about `sample` texts of each language; None if no row has a language and a letter."""
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where("text is not null and lang is not null")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").take(LANGUAGES + 1)}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    most = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r.lang: r.n for r in most.collect()}
     if not counts:
         return None
+    sample = min(sample, max(LEAST, TOTAL // len(counts)))
     limit = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * sample / n)))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < limit[F.col("lang")])
 
@@ -127,6 +133,7 @@ def fitted(labelled: DataFrame, text: str = "text", lang: str = "lang", sample:
 
 def identified(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns: the language predicted from the text alone, and its score."""
+    docs = docs.drop(pred, score)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
 

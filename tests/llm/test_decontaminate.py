@@ -101,3 +101,15 @@ def test_cut_off_copies():
         mask, found = shard.hits()
         got = [(d, int(n), [tuple(s) for s in decontaminate.spans(mask[a : a + n]).tolist()], sorted(set(f))) for d, (a, n, f) in enumerate(zip(shard.starts, shard.sizes, found, strict=True))]
         assert sorted(got, key=repr) == brute(list(enumerate(of)), items)
+
+
+def test_many_passes(spark, monkeypatch):
+    """Items in many blocks give what one block gives."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 300}" for j in range(60))) for i in range(30)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(f"w{(i * 13 + j) % 300}" for j in range(14))) for i in range(40)], "item_id long, text string")
+    whole = sorted(map(repr, decontaminate.matches(docs, items).collect()))
+    kept = sorted(map(repr, decontaminate.decontaminated(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 300)
+    monkeypatch.setattr(decontaminate, "PASSES", 2)
+    assert sorted(map(repr, decontaminate.matches(docs, items).collect())) == whole
+    assert sorted(map(repr, decontaminate.decontaminated(docs, items).collect())) == kept

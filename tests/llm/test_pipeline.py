@@ -35,3 +35,13 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+def test_no_labels(spark):
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(["some words", None, "", "²½", "日本"])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == [0, 4]
+
+
+def test_language_is_kept(spark):
+    docs = spark.createDataFrame([(i, "the cat sat on the mat" if i % 2 else "der hund lief in den wald", ("en" if i % 2 else "de") if i < 40 else None, "s", 1) for i in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(r.doc_id % 2, r.lang) for r in corpus_pipeline.language_id(spark, docs, SF).collect()} == {(0, "de"), (1, "en")}
