@@ -2,40 +2,54 @@
 
 An entity is found by pattern and check (Luhn, octets, IBAN remainder), brought to a normal form (an e-mail in lower case, a
 phone's digits), and the form's surrogate is drawn with a keyed hash. The surrogate is poured into the shape of the
-occurrence: digits stay digits, letters stay letters of their case and script, separators and lengths stay. Names after a
-title keep the gender that the title says. So `+1 (269) 555-1234` and `+1-269-555-1234` stay one number, each in its form.
+occurrence: digits stay digits, letters stay letters of their case and script, separators and lengths stay. So
+`+1 (269) 555-1234` and `+1-269-555-1234` stay one number, each in its form.
+
+A person's name behind a title is two entities, given name and surname, each with a surrogate of its own: so `Mr. John Smith`,
+`Mr. Smith` and `Dr. Smith` keep one surname. The gender of a given name is the title's, else that of a known name. Surrogate
+names are made of a list or of syllables, with the endings of their gender and script.
 
 Distinctness is checked over the whole table: of entities that drew one surrogate all but the first draw again, as does one
-that drew what is an entity elsewhere in the table, until none is left. Only entities that drew again are looked up while
-texts are rewritten: by a broadcast table of at most EXCEPTIONS rows, beyond that by a join on the document.
+that drew what is an entity elsewhere in the table, until none is left. Later draws come from larger spaces (more syllables or
+digits; after WIDE draws, with a hexadecimal tail), so this ends however many entities there are. Only entities that drew again
+are looked up while texts are rewritten: by a broadcast table of at most EXCEPTIONS rows, beyond that by a join on the document.
+
+The key is an argument, else spark.jsonloom.pii.key of the session; without either the session gets a random one, so that
+surrogates can't be searched back, but differ from session to session.
 
 Defined results: a null text stays null and has no entities; where entities overlap the first found in KINDS wins; repeated
-rows are rewritten alike; texts without entities stay as they are.
+rows are rewritten alike; texts without entities stay as they are; an empty table gives no rows; a column named as `spans` gives
+way to it. A text must fit in one task's memory; entities of a text take time in proportion to their number.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jsonloom.llm.common import blocks, written
 
-KEY = b"change this key"
 EXCEPTIONS = 200_000
-ROUNDS = 50
+#: Draws after which a surrogate gets a tail out of its format.
+WIDE = 24
 
 #: Titles by gender, and given names to draw from by gender and script.
 TITLES = {"m": ("Mr", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Don", "г-н"), "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Doña", "г-жа"), "n": ("Dr", "Prof")}
 GIVEN = {
-    ("m", "latin"): "Adam Anton Bruno Carl Daniel Emil Felix Georg Henry Ivan Jonas Karl Leo Martin Nils Oscar Paul Ralph Simon Thomas".split(),
-    ("f", "latin"): "Alice Anna Berta Clara Diana Emma Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sofia Teresa".split(),
+    ("m", "latin"): "Adam Anton Bruno Carl Daniel David Emil Felix Georg Henry Ivan James John Jonas Juan Karl Leo Martin Michael Nils Oscar Paul Peter Pierre Ralph Robert Simon Thomas William".split(),
+    ("f", "latin"): "Alice Anna Berta Clara Diana Elizabeth Emma Flora Greta Helen Irene Jane Julia Karin Laura Marie Maria Mary Nora Olga Patricia Paula Rosa Sarah Sofia Susan Teresa".split(),
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён".split(),
     ("f", "cyrillic"): "Алла Анна Вера Галина Дарья Елена Зоя Ирина Лидия Мария Нина Ольга Полина Раиса София".split(),
 }
+#: What made names consist of: consonants, vowels, endings of surnames by gender and of given names by gender.
+SOUNDS = {"latin": ("bdfghklmnprstv", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу")}
+SURNAMES = {("n", "latin"): ("son", "ner", "man", "ley", "berg", "dez", "er", "ov"), ("m", "cyrillic"): ("ов", "ин", "ский"), ("f", "cyrillic"): ("ова", "ина", "ская"), ("n", "cyrillic"): ("енко", "ук")}
+ENDS = {("m", "latin"): "nrsk", ("f", "latin"): "a", ("m", "cyrillic"): "нрс", ("f", "cyrillic"): "а"}
 LUHN_TWICE = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
 
@@ -63,13 +77,30 @@ def _iban(m: re.Match) -> str | None:
 
 
 def _name(m: re.Match) -> str | None:
-    return f"{gender(m['title'])} {m['name']}" if all(x[0].isupper() for x in m["name"].split(" ")) else None
+    return m["name"] if all(x[0].isupper() for x in m["name"].split(" ")) else None
 
 
 def gender(title: str) -> str:
     return next((g for g, titles in TITLES.items() if title.rstrip(".") in titles), "n")
 
 
+def script(text: str) -> str:
+    """The script of a name that names can be made in, else `other`."""
+    return "cyrillic" if all("Ѐ" <= c <= "ӿ" for c in text if c.isalpha()) else "latin" if all(c < "ɐ" for c in text if c.isalpha()) else "other"
+
+
+def persons(title: str, name: str, at: int) -> list[tuple[int, int, str, str]]:
+    """The entities of a name behind a title: given name, if there is one, and surname."""
+    *given, last = name.split(" ")
+    out = [(at + len(name) - len(last), at + len(name), "surname", last)]
+    if given:
+        sex = gender(title)
+        if sex == "n":
+            sex = next((g for (g, _), names in GIVEN.items() if given[0] in names), "n")
+        out.insert(0, (at, at + len(given[0]), "given", f"{sex} {given[0]}"))
+    return out
+
+
 _TITLE = "|".join(sorted((re.escape(t) for ts in TITLES.values() for t in ts), key=len, reverse=True))
 #: (kind, bytes that a text must hold, pattern, normal form or None if it is no entity, the group that is replaced).
 KINDS = [
@@ -93,11 +124,16 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
     for kind, mark, pattern, normal, group in KINDS:
         if mark not in text or (kind in _NEEDS and not _NEEDS[kind].search(text)):
             continue
+        # matches come in order and don't overlap, and so do those found before: one step through both
+        at, new = 0, []
         for m in pattern.finditer(text):
             start, end = m.span(group)
-            if (form := normal(m)) is not None and not any(s < end and start < e for s, e, _, _ in found):
-                found.append((start, end, kind, form))
-    return sorted(found)
+            while at < len(found) and found[at][1] <= start:
+                at += 1
+            if (at == len(found) or found[at][0] >= end) and (form := normal(m)) is not None:
+                new += persons(m["title"], form, start) if kind == "name" else [(start, end, kind, form)]
+        found = sorted(found + new)
+    return found
 
 
 class Draw:
@@ -122,20 +158,58 @@ def _letters(text: str, draw: Draw, low: str = "abcdefghijklmnopqrstuvwxyz") ->
         if c.isdigit():
             out.append(str(draw.below(10)))
         elif c.isalpha():
-            letters = "абвгдежзиклмнопрстуфхцчшэюя" if "Ѐ" <= c <= "ӿ" else low
-            new = letters[draw.below(len(letters))]
-            out.append(new.upper() if c.isupper() else new)
+            if c < "ɐ":
+                new = low[draw.below(len(low))]
+                out.append(new.upper() if c.isupper() else new)
+            else:
+                # of the 32 code points around it, the letters of its case
+                near = [x for x in map(chr, range(ord(c) & ~31, (ord(c) & ~31) + 32)) if x.isalpha() and x.isupper() == c.isupper()]
+                out.append(near[draw.below(len(near))])
         else:
             out.append(c)
     return "".join(out)
 
 
-def surrogate(kind: str, form: str, key: bytes = KEY, attempt: int = 0) -> str:
+def _made(draw: Draw, sounds: str, syllables: int, end: str) -> str:
+    hard, soft = SOUNDS[sounds]
+    return ("".join(hard[draw.below(len(hard))] + soft[draw.below(len(soft))] for _ in range(syllables)) + end).capitalize()
+
+
+def _surname(form: str, draw: Draw, attempt: int) -> str:
+    kind = script(form)
+    if kind == "other":
+        return _letters(form + form[-1] * (attempt // 2), draw)
+    sex = "n"
+    if kind == "cyrillic":
+        sex = "f" if form.endswith(("ова", "ева", "ина", "ая")) else "m" if form.endswith(("ов", "ев", "ин", "ий", "ой")) else "n"
+    ends = SURNAMES[sex, kind]
+    return _made(draw, kind, max(2, min(4, len(form) // 2 - 1)) + attempt // 2, ends[draw.below(len(ends))])
+
+
+def _given(form: str, draw: Draw, attempt: int) -> str:
+    sex, name = form.split(" ", 1)
+    kind = script(name)
+    if kind == "other":
+        return _letters(name + name[-1] * (attempt // 2), draw)
+    sex = "mf"[draw.below(2)] if sex == "n" else sex
+    if attempt < 2:
+        names = GIVEN[sex, kind]
+        return names[draw.below(len(names))]
+    ends = ENDS[sex, kind]
+    return _made(draw, kind, 2 + attempt // 2, ends[draw.below(len(ends))])
+
+
+def surrogate(kind: str, form: str, key: bytes, attempt: int = 0) -> str:
     """The normal form of an entity's surrogate."""
     draw = Draw(key, kind, form, attempt)
+    new = _surrogate(kind, form, draw, attempt)
+    return new + _letters("a" * (attempt - WIDE + 8), draw, "abcdef") if attempt >= WIDE else new
+
+
+def _surrogate(kind: str, form: str, draw: Draw, attempt: int) -> str:
     if kind == "email":
         local, _, _ = form.partition("@")
-        return f"{_letters(local, draw)}@{_letters('aaaaaa', draw)}.example.org"
+        return f"{_letters(local + 'a' * (attempt // 2), draw)}@{_letters('aaaaaa', draw)}.example.org"
     if kind == "secret":
         hexadecimal = not re.search("[^0-9a-fA-F]", form)
         return _letters(form, draw, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
@@ -154,13 +228,10 @@ def surrogate(kind: str, form: str, key: bytes = KEY, attempt: int = 0) -> str:
         # the country's part and the first digit stay
         keep = max(1, len(form) - 10)
         return form[:keep] + _letters(form[keep:], draw)
-    if kind == "name":
-        sex, *parts = form.split(" ")
-        script = "cyrillic" if any("Ѐ" <= c <= "ӿ" for c in form) else "latin"
-        lists = [GIVEN[g, script] for g in ("m", "f")] if sex == "n" else [GIVEN[sex, script]]
-        names = [x for given in lists for x in given]
-        last = parts[-1][:1] + _letters(parts[-1][1:], draw)
-        return " ".join([sex, names[draw.below(len(names))], last] if len(parts) > 1 else [sex, last])
+    if kind == "surname":
+        return _surname(form, draw, attempt)
+    if kind == "given":
+        return _given(form, draw, attempt)
     return _letters(form, draw)
 
 
@@ -168,12 +239,8 @@ def poured(new: str, kind: str, occurrence: str) -> str:
     """A surrogate in the shape of an occurrence: its separators, and its letter case where the normal form drops it."""
     if kind in ("card", "ssn", "phone", "iban"):
         left = iter(new)
-        return "".join(next(left) if c.isalnum() else c for c in occurrence)
-    if kind == "name":
-        return new.partition(" ")[2]
-    if kind == "email" and occurrence.isupper():
-        return new.upper()
-    return new
+        return "".join(next(left) if c.isalnum() else c for c in occurrence) + "".join(left)
+    return new.upper() if kind == "email" and occurrence.isupper() else new
 
 
 def rewritten(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, list[tuple[str, int, int]]]:
@@ -203,34 +270,48 @@ def entity_table(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(find, ENTITY).distinct()
 
 
-def exceptions(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key, a random one if none has been set."""
+    key = spark.conf.get("spark.jsonloom.pii.key", None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set("spark.jsonloom.pii.key", key)
+    return key.encode()
+
+
+def exceptions(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, attempt) of the entities that had to draw again; `found` is read often and must be a written table."""
 
     def draw(batches):
         for batch in batches:
             rows = zip(batch.column("kind").to_pylist(), batch.column("form").to_pylist(), batch.column("attempt").to_pylist(), strict=True)
+            # a given name's gender is no part of what is replaced
             yield batch.append_column("new", pa.array([surrogate(k, f, key, a) for k, f, a in rows], pa.string()))
 
     drawn = f"{ENTITY}, attempt int, new string"
-    now = written(found.withColumn("attempt", F.lit(0)).mapInArrow(draw, drawn), "surrogates")
-    real = found.select("kind", F.col("form").alias("new"), F.lit(True).alias("real"))
-    for _ in range(ROUNDS):
+    first = written(found.withColumn("attempt", F.lit(0)).mapInArrow(draw, drawn), "surrogates")
+    again = first.limit(0)
+    plain = F.when(F.col("kind") == "given", F.substring_index("form", " ", -1)).otherwise(F.col("form"))
+    real = found.select("kind", plain.alias("new"), F.lit(True).alias("real")).distinct()
+    while True:
+        now = first.join(again.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again)
         # who keeps a surrogate: the smallest of those that drew it, unless it is real
-        first = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("m"), F.count(F.lit(1)).alias("n")).join(real, ["kind", "new"], "left").where("n > 1 or real")
-        clash = now.join(first, ["kind", "new"]).where("real or form <> m.form").select("kind", "form", "attempt")
-        clash = written(clash, "clashes")
+        keeps = now.groupBy("kind", "new").agg(F.min(F.struct("attempt", "form")).alias("m"), F.count(F.lit(1)).alias("n")).join(real, ["kind", "new"], "left").where("n > 1 or real")
+        clash = written(now.join(keeps, ["kind", "new"]).where("real or form <> m.form").select("kind", "form", "attempt"), "clashes")
         if clash.isEmpty():
-            return now.where("attempt > 0").select("kind", "form", "attempt")
-        again = clash.withColumn("attempt", (F.col("attempt") + 1).cast("int")).mapInArrow(draw, drawn)
-        now = written(now.join(clash.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(again), "surrogates")
-    raise ValueError(f"entities are more than their surrogates: some still clash after {ROUNDS} draws")
+            return again.select("kind", "form", "attempt")
+        more = clash.withColumn("attempt", (F.col("attempt") + 1).cast("int")).mapInArrow(draw, drawn)
+        # only what has been drawn again is written anew
+        again = written(again.join(clash.select("kind", "form"), ["kind", "form"], "left_anti").unionByName(more), "again")
 
 
 SPANS = "array<struct<kind:string,start:int,length:int>>"
 
 
-def anonymised(docs: DataFrame, text: str = "text", key: bytes = KEY, spans: str | None = None, limit: int = EXCEPTIONS) -> DataFrame:
+def anonymised(docs: DataFrame, text: str = "text", key: bytes | None = None, spans: str | None = None, limit: int = EXCEPTIONS) -> DataFrame:
     """docs with surrogates in the text column; in the column `spans`, if named, what they are and where they now stand."""
+    key = key or key_of(docs.sparkSession)
+    docs = docs.drop(spans) if spans else docs
     found = written(entity_table(docs, text), "entities")
     again = exceptions(found, key)
     schema = type(docs.schema)([*docs.schema.fields])

@@ -7,18 +7,19 @@ TEXT = 'Mr. John Smith, call +1 (269) 555-1234 or +1-269-555-1234; Bob.X@mail.ex
 
 def test_kinds_and_shapes():
     kinds = [k for _, _, k, _ in pii.entities(TEXT)]
-    assert kinds == ["name", "phone", "phone", "email", "email", "address", "secret", "access key", "card", "iban", "name", "name", "ssn"]
+    assert kinds == ["given", "surname", "phone", "phone", "email", "email", "address", "secret", "access key", "card", "iban", "surname", "given", "surname", "ssn"]
     new, spans = pii.rewritten(TEXT, b"k", {})
     for _, start, length in spans:
         assert new[start : start + length] not in TEXT
     parts = [new[s : s + n] for _, s, n in spans]
+    names, parts = [p for p, k in zip(parts, kinds, strict=True) if k in ("given", "surname")], ["", *[p for p, k in zip(parts, kinds, strict=True) if k not in ("given", "surname")]]
     digits = ["".join(c for c in p if c.isdigit()) for p in parts]
     assert digits[1] == digits[2] and parts[1].startswith("+1 (") and parts[2].startswith("+1-")
     assert parts[4] == parts[3].upper()
     assert pii.luhn(parts[8]) and parts[8][0] == "4"
     assert int("".join(str(int(c, 36)) for c in parts[9].replace(" ", "")[4:] + parts[9][:4])) % 97 == 1
-    assert parts[0].split()[0] in pii.GIVEN["m", "latin"]
-    assert parts[11].split()[0] in pii.GIVEN["f", "cyrillic"] and "А" <= parts[11].split()[1][0] <= "Я"
+    assert names[0] in pii.GIVEN["m", "latin"]
+    assert names[3] in pii.GIVEN["f", "cyrillic"] and "А" <= names[4][0] <= "Я" and names[4].endswith(("а", "я"))
     assert len(parts[6]) == 40 and set(parts[6]) <= set("0123456789abcdef")
     assert pii.rewritten(TEXT, b"k", {}) == (new, spans) and pii.rewritten(TEXT, b"other", {})[0] != new
 
@@ -37,7 +38,7 @@ def test_distinct_and_consistent(spark, monkeypatch):
     docs = people(spark)
     # so few surrogates that many entities draw the same
     real = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda kind, form, key=pii.KEY, attempt=0: f"s{pii.Draw(key, kind, form, attempt).below(60)}@x.example.org" if kind == "email" else real(kind, form, key, attempt))
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, key, attempt=0: f"s{pii.Draw(key, kind, form, attempt).below(60)}@x.example.org" if kind == "email" else real(kind, form, key, attempt))
     for limit in (100_000, 3):  # broadcast, and joined
         done = pii.anonymised(docs, spans="found", limit=limit)
         assert done.columns == ["doc_id", "text", "kind", "found"]
@@ -59,3 +60,58 @@ def test_odd(odd, none):
     assert sorted((repr(r) for r in done.select("doc_id", "text").collect())) == sorted(repr(r) for r in odd.select("doc_id", "text").collect())
     assert done.columns == odd.columns and pii.anonymised(none).count() == 0
     assert pii.digests(odd.select("doc_id", F.lit("x 10.1.2.3").alias("text"))).where("n_entities = 1").count() == odd.count()
+
+
+def test_persons_stay_themselves():
+    new, _ = pii.rewritten("Mr. John Smith met Mr. Smith and Dr. Smith; Dr. John Smith, Mrs. Anna Smith. Dr. Παπαδοπουλος", b"k", {})
+    words = new.replace(";", "").replace(",", "").replace(".", "").split()
+    smith = words[2]
+    assert smith != "Smith" and words[5] == words[8] == words[11] == words[14] == smith
+    assert words[1] == words[10] and words[1] in pii.GIVEN["m", "latin"] and words[13] in pii.GIVEN["f", "latin"]
+    assert all("Ͱ" <= c <= "Ͽ" for c in words[16]) and len(words[16]) == 12
+
+
+def test_many_entities_of_one_text():
+    import time
+
+    text = " ".join(f"10.{i % 200}.{i // 200 % 200}.{i // 40000}" for i in range(100_000)) + " a@b.cd"
+    began = time.perf_counter()
+    assert len(pii.entities(text)) == 100_001
+    assert time.perf_counter() - began < 10
+
+
+def test_more_entities_than_surrogates(spark, monkeypatch):
+    """Short names, and surrogates that are all taken at first: every entity ends with one of its own."""
+    rows = [(i, f"ask Mr. L{c} and Ms. Anna L{c}") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    real = pii.surrogate
+    monkeypatch.setattr(pii, "surrogate", lambda kind, form, key, attempt=0: "Same" if attempt < 3 else real(kind, form, key, attempt))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    again = {(r.kind, r.form): r.attempt for r in pii.exceptions(pii.written(pii.entity_table(docs), "entities"), b"k").collect()}
+    forms = {(k, f) for _, t in rows for _, _, k, f in pii.entities(t)}
+    assert len(forms) == 27
+    assert len({(k, pii.surrogate(k, f, b"k", again.get((k, f), 0))) for k, f in forms}) == 27
+    for kind, form in (("address", "1.2.3.4"), ("ssn", "123456789"), ("surname", "La"), ("given", "f Anna"), ("card", "4041894974608795"), ("phone", "15551234")):
+        assert len({real(kind, form, key=bytes([i]), attempt=pii.WIDE + 1) for i in range(200)}) == 200
+
+
+def test_reference_of_exceptions(spark):
+    """Every entity has its class, its own surrogate, and none is an entity of the table."""
+    rows = [(i, f"Mr. L{chr(97 + i % 20)} and Dr. Bo Ng{'abcdefghij'[i % 10]}, 10.1.{i % 5}.{i % 9}, u{i % 33}@x.example.com, +1 269 555 {1000 + i % 40}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    done = {r.doc_id: r for r in pii.anonymised(docs, key=b"k", spans="found").collect()}
+    mapped, real = {}, {(k, f.rpartition(" ")[2] if k == "given" else f) for _, t in rows for _, _, k, f in pii.entities(t)}
+    for i, text in rows:
+        for (_, _, kind, form), span in zip(pii.entities(text), done[i].found, strict=True):
+            new = done[i].text[span.start : span.start + span.length]
+            new = "".join(c for c in new if c.isdigit()) if kind == "phone" else new.lower() if kind == "email" else new
+            assert span.kind == kind and (kind, new) not in real
+            assert mapped.setdefault((kind, form), new) == new
+    for kind in {k for k, _ in mapped}:
+        own = [v for (k, _), v in mapped.items() if k == kind]
+        assert len(set(own)) == len(own)
+
+
+def test_key(spark):
+    docs = spark.createDataFrame([(1, "from 10.0.0.1")], "doc_id long, text string")
+    one, two = (pii.anonymised(docs).first().text for _ in range(2))
+    assert one == two != "from 10.0.0.1" and pii.anonymised(docs, key=b"other").first().text != one
