@@ -158,6 +158,11 @@ def combinations(arrays: list[Column]) -> Column:
     return fold(more, arrays[1:], F.transform(arrays[0], lambda x: F.array(x)))
 
 
+def combinations_of(a: Column, n: int) -> Column:
+    """All ways to take n elements of one array, with repetition, the first place outermost."""
+    return combinations([a] * n) if n else F.array(F.array().cast("array<string>"))
+
+
 def bsearch(a: Column, x: Column) -> Column:
     """In a sorted array the place of x, else minus one minus where it would stand."""
     below = F.size(F.filter(a, lambda v: v < x))

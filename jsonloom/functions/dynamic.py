@@ -1,6 +1,7 @@
 """JSON text whose shape is not known before it is read, an Arrow batch at a time.
 
-Everything here keeps key order, duplicate-key and number-text rules that Spark's own JSON types lose. Where the shape is
+Everything here keeps the key order and duplicate-key rules that Spark's own JSON types lose; numbers are written as values.number_text
+does, not by their literals. Where the shape is
 known, use the other modules: they stay in the JVM.
 """
 
@@ -18,6 +19,19 @@ def _dump(x) -> str:
     return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
 
 
+def _number(text: str):
+    """A number with a fraction or exponent: whole ones are whole, those out of range are the largest doubles."""
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        return 1.7976931348623157e308 if value > 0 else -1.7976931348623157e308
+    return int(value) if value == value and value == int(value) and abs(value) < 1e17 else value
+
+
+def _load(text: str):
+    """A JSON value; NaN, which has no JSON text, is null."""
+    return json.loads(text, parse_float=_number, parse_constant=lambda name: None if name == "NaN" else _number(name))
+
+
 def _children(x):
     return enumerate(x) if isinstance(x, list) else x.items() if isinstance(x, dict) else ()
 
@@ -87,7 +101,7 @@ def _flat(x: list, depth: int) -> list:
 
 
 def _mapped(f, returns: str):
-    return pandas_udf(lambda s: s.map(lambda v: None if v is None else f(json.loads(v))), returns)
+    return pandas_udf(lambda s: s.map(lambda v: None if v is None else f(_load(v))), returns)
 
 
 def paths(x: Column) -> Column:
@@ -101,7 +115,7 @@ def tostream(x: Column) -> Column:
 
 def fromstream(events: Column) -> Column:
     """The values that an array of events spells."""
-    return pandas_udf(lambda s: s.map(lambda v: None if v is None else [_dump(y) for y in _from_events([json.loads(e) for e in v])]), "array<string>")(events)
+    return pandas_udf(lambda s: s.map(lambda v: None if v is None else [_dump(y) for y in _from_events([_load(e) for e in v])]), "array<string>")(events)
 
 
 def truncate_stream(events: Column, depth: int) -> Column:
@@ -110,7 +124,7 @@ def truncate_stream(events: Column, depth: int) -> Column:
     def cut(v):
         if v is None:
             return None
-        parsed = [json.loads(e) for e in v]
+        parsed = [_load(e) for e in v]
         return [_dump([e[0][depth:], *e[1:]]) for e in parsed if len(e[0]) > depth]
 
     return pandas_udf(lambda s: s.map(cut), "array<string>")(events)
@@ -237,7 +251,7 @@ def pick(x: Column, paths_: list[list]) -> Column:
 
 def merge(x: Column, y: Column) -> Column:
     """Objects merged at every level, y's values winning."""
-    return pandas_udf(lambda s, t: s.combine(t, lambda a, b: None if a is None or b is None else _dump(_merge(json.loads(a), json.loads(b)))), "string")(x, y)
+    return pandas_udf(lambda s, t: s.combine(t, lambda a, b: None if a is None or b is None else _dump(_merge(_load(a), _load(b)))), "string")(x, y)
 
 
 def contains(x: Column, y) -> Column:

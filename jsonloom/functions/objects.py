@@ -35,6 +35,13 @@ def from_entries(entries: Column) -> Column:
     return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]))
 
 
+def from_named_entries(entries: Column, fields: list[str]) -> Column:
+    """Of entries whose key stands in any of key, k, name, Name, Key, K and whose value in any of value, v, Value, V; `fields` are
+    the fields that these structs have. The first that is not null counts."""
+    some = lambda e, names: F.coalesce(*[e[n] for n in names if n in fields], F.lit(None))
+    return from_entries(F.transform(entries, lambda e: F.struct(some(e, ("key", "k", "name", "Name", "Key", "K")).cast("string").alias("key"), some(e, ("value", "v", "Value", "V")).alias("value"))))
+
+
 def with_entries(m: Column, f: Callable[[Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
     """Entries through f, and only those that `keep` holds for."""
     entries = F.map_entries(m)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -54,16 +55,27 @@ def test(s: Column, pattern: str, flags: str = "") -> Column:
     return F.regexp_like(s, F.lit(translated(pattern, flags)))
 
 
+def optional(pattern: str) -> bool:
+    """Whether a match may leave out a group: then null must be told from the empty text, which Java's functions in Spark don't do."""
+    return bool(re.search(r"\||\)(?:[?*]|\{0?,)", re.sub(r"\\.|\[[^\]]*\]", "", pattern)))
+
+
 def capture(s: Column, pattern: str, flags: str = "") -> Column:
-    """The named groups of the first match as a struct; null without a match."""
+    """The named groups of the first match as a struct, a group that took no part null; null without a match. With the flag g an
+    array of all matches' structs."""
     java = translated(pattern, flags)
     named = [(i + 1, name) for i, name in enumerate(groups(pattern)) if name]
+    if "g" in flags or optional(pattern):
+        each = F.transform(match(s, pattern, flags), lambda m: F.struct(*[m["captures"][i - 1]["string"].alias(name) for i, name in named]))
+        return each if "g" in flags else F.get(each, F.lit(0))
     return F.when(F.regexp_like(s, F.lit(java)), F.struct(*[F.regexp_extract(s, java, i).alias(name) for i, name in named]))
 
 
 def scan(s: Column, pattern: str, flags: str = "") -> Column:
-    """All matches; with groups, an array of the groups of each."""
+    """All matches; with groups, an array of the groups of each, null for a group that took no part."""
     java, n = translated(pattern, flags), len(groups(pattern))
+    if n and optional(pattern):
+        return F.transform(match(s, pattern, flags + "g"), lambda m: F.transform(m["captures"], lambda c: c["string"]))
     if not n:
         return F.regexp_extract_all(s, F.lit(java), F.lit(0))
     each = [F.regexp_extract_all(s, F.lit(java), F.lit(i + 1)) for i in range(n)]
@@ -99,12 +111,13 @@ MATCH = "array<struct<offset:int,length:int,string:string,captures:array<struct<
 
 def match(s: Column, pattern: str, flags: str = "") -> Column:
     """Matches with code-point offsets and captures (Spark has no function for offsets): the first, or all with g."""
-    python = re.compile(re.sub(r"\(\?<([A-Za-z]\w*)>", r"(?P<\1>", pattern), (re.I if "i" in flags else 0) | (re.X if "x" in flags else 0) | (re.S if set(flags) & {"p", "m"} else 0))
     translated(pattern, flags)
+    # this engine reads POSIX classes and named groups as they are
+    python = regex.compile(re.sub(r"(?<!\\)((?:\\\\)*)\\h", r"\1[0-9A-Fa-f]", pattern), (regex.I if "i" in flags else 0) | (regex.X if "x" in flags else 0) | (regex.S if set(flags) & {"p", "m"} else 0))
     names = {i: name for name, i in python.groupindex.items()}
 
-    def one(m: re.Match) -> dict:
-        captures = [{"offset": m.start(i), "length": len(m[i]) if m[i] is not None else 0, "string": m[i], "name": names.get(i)} for i in range(1, python.groups + 1)]
+    def one(m) -> dict:
+        captures = [{"offset": m.start(i) if m[i] is not None else -1, "length": len(m[i]) if m[i] is not None else 0, "string": m[i], "name": names.get(i)} for i in range(1, python.groups + 1)]
         return {"offset": m.start(), "length": len(m[0]), "string": m[0], "captures": captures}
 
     @pandas_udf(MATCH)

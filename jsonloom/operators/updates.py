@@ -36,6 +36,11 @@ def plus_assign(df: DataFrame, path: list[str], value: Column) -> DataFrame:
     return update(df, path, lambda old: F.when(old.isNull(), value).otherwise(old + F.coalesce(value, F.lit(0))))
 
 
+def arith_assign(df: DataFrame, path: list[str], f: Callable[[Column, Column], Column], value: Column) -> DataFrame:
+    """The value at a path and another through f, as in -=, *=, /= and %=; the other is read from the row as it was."""
+    return update(df, path, lambda old: f(old, value))
+
+
 def default(df: DataFrame, path: list[str], value: Column) -> DataFrame:
     """The value where there is null."""
     return update(df, path, lambda old: F.coalesce(old, value))
