@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 SIZES = (3, 4)
 BUCKETS = 1 << 14
-TRAIN_LIMIT = 20_000
+TRAIN_LIMIT = 5_000
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -99,12 +99,16 @@ def fit(labelled: list[tuple[str, int]], rounds: int = 1500, rate: float = 4.0,
     rows = np.zeros((len(found), len(used) + 1))
     for row, x in zip(rows, found, strict=True):
         row[np.searchsorted(used, x)] = 1 / np.sqrt(max(len(x), 1))
-    rows[:, -1] = 1
     truth = np.array([y for _, y in labelled], float)
     share = np.where(truth > 0, 0.5 / max(truth.sum(), 1), 0.5 / max((1 - truth).sum(), 1))
-    w, held = np.zeros(len(used) + 1), np.r_[np.full(len(used), decay), 0]
+    # the weights are a sum of rows, so the steps can be taken on the rows' shares in it, which are fewer than the n-grams
+    rows = rows[:, :-1]
+    alike, shares, intercept = rows @ rows.T, np.zeros(len(rows)), 0.0
     for _ in range(rounds):
-        w -= rate * (rows.T @ (share * (1 / (1 + np.exp(-rows @ w)) - truth)) + held * w)
+        slope = share * (1 / (1 + np.exp(-(alike @ shares + intercept))) - truth)
+        shares = shares * (1 - rate * decay) - rate * slope
+        intercept -= rate * slope.sum()
+    w = np.r_[rows.T @ shares, intercept]
     out = np.zeros(BUCKETS + 1)
     out[used], out[-1] = w[:-1], w[-1]
     return out
