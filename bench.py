@@ -13,6 +13,7 @@ from jsonloom import catalog
 HEADLINE = [
     "group_agg", "project_fields", "select_and", "alt_default", "arith_ops", "mod_trunc", "group_multi_key", "unique_by_first", "max_by_last", "sort_topk", "limit_skip", "foreach_running", "reduce_sum", "index_join", "semi_in", "anti_in",
     "each_element", "array_reads", "json_parse_path", "json_keys", "update_field", "string_case", "split_join", "fmt_html", "fmt_base64", "regex_test", "regex_capture", "regex_gsub", "time_iso", "gmtime_fields", "conversions", "json_stream",
+    "json_from_stream", "json_paths", "json_getpath", "json_merge", "json_sort_walk", "math_special", "regex_match",
 ]
 
 

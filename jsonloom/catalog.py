@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from jsonloom.functions import arith, arrays, dynamic, errors, formats, maths, objects, regex, strings, times, values
 from jsonloom.operators import groups, joins, streams, updates
+from jsonloom.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +126,28 @@ def math_special(spark, sf):
     return rows.select("event_id", F.when(F.abs("t") < 1e6, F.round("t", 4)).otherwise(F.round(F.ln(F.abs("t")), 6)).alias("g"), F.round(maths.special("lgamma", F.col("x")), 6).alias("l"))
 
 
+@query("""SELECT c_custkey, CASE WHEN x = 0 THEN 0.0 ELSE x / pow(2, e) END AS significand, CASE WHEN x = 0 THEN 0.0 ELSE x / pow(2, e + 1) END AS mantissa, CASE WHEN x = 0 THEN 0.0 ELSE e + 1 END AS exponent, nextafter(x, 1e300::DOUBLE) AS next,
+ CASE WHEN x < 0 THEN -2.5 ELSE 2.5 END::DOUBLE AS signed, round(x - 3 * round_even(x / 3, 0), 6) AS rest, x * 8 AS scaled, round_even(x, 0) AS near FROM (SELECT c_custkey, c_acctbal::DOUBLE AS x, floor(log2(abs(nullif(c_acctbal, 0)))) AS e FROM customer)""")
+def math_bits(spark, sf):
+    x = F.col("c_acctbal").cast("double")
+    split = maths.frexp(x)
+    return table(spark, sf, "customer").select(
+        "c_custkey", maths.significand(x).alias("significand"), split[0].alias("mantissa"), split[1].alias("exponent"), maths.special("nextafter", x, F.lit(1e300)).alias("next"), maths.copysign(F.lit(2.5), x).alias("signed"),
+        F.round(maths.drem(x, F.lit(3.0)), 6).alias("rest"), maths.scalb(x, F.lit(3)).alias("scaled"), maths.unary("nearbyint", x).alias("near"),
+    )
+
+
+@query("""SELECT p_partkey, round(tan(x), 6) AS tan, round(asin(x / 60), 9) AS asin, round(acos(x / 60), 9) AS acos, round(asinh(x), 9) AS asinh, round(acosh(x + 1), 9) AS acosh, round(atanh(x / 60), 9) AS atanh, round(cosh(x / 10), 6) AS cosh,
+ round(exp(x / 100) - 1, 9) AS expm1, round(ln(1 + x), 9) AS log1p, round(list_sum(list_transform(range(200), lambda i: cos(x * sin(pi() * (i + 0.5) / 200)))) / 200, 9) AS j0,
+ round(list_sum(list_transform(range(200), lambda i: cos(pi() * (i + 0.5) / 200 - x * sin(pi() * (i + 0.5) / 200)))) / 200, 9) AS j1, round(list_sum(list_transform(range(2000), lambda i: exp(-pow(x / 50 * (i + 0.5) / 2000, 2)))) * x / 50 / 2000 * 2 / sqrt(pi()), 6) AS erf
+ FROM (SELECT p_partkey, p_size::DOUBLE AS x FROM part)""")
+def math_more(spark, sf):
+    x = F.col("p_size").cast("double")
+    shown = {"asin": x / 60, "acos": x / 60, "asinh": x, "acosh": x + 1, "atanh": x / 60, "expm1": x / 100, "log1p": x}
+    found = [F.round(maths.unary(n, v), 9).alias(n) for n, v in shown.items()] + [F.round(maths.unary("tan", x), 6).alias("tan"), F.round(maths.unary("cosh", x / 10), 6).alias("cosh")]
+    return table(spark, sf, "part").select("p_partkey", *found, *[F.round(maths.special(n, x), 9).alias(n) for n in ("j0", "j1")], F.round(maths.special("erf", x / 50), 6).alias("erf"))
+
+
 # ---- groups, order, sets ----
 
 
@@ -153,7 +176,7 @@ def max_by_last(spark, sf):
     return groups.max_by(table(spark, sf, "part"), ["p_brand"], "p_size", ["p_partkey"], F.col("p_partkey"))
 
 
-@query("SELECT l_orderkey, bool_or(l_discount > 0.09) AS \"any\", bool_and(l_quantity > 5) AND bool_or(l_discount > 0.09) IS NOT NULL AS every FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, bool_or(l_discount > 0.09) AS \"any\", bool_and(l_quantity > 5) AS every FROM lineitem GROUP BY l_orderkey")
 def any_all(spark, sf):
     found = groups.any_all(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_discount") > 0.09).drop("all")
     every = groups.any_all(table(spark, sf, "lineitem"), ["l_orderkey"], F.col("l_quantity") > 5).select("l_orderkey", F.col("all").alias("every"))
@@ -261,10 +284,10 @@ def index_join(spark, sf):
     return joins.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), known, F.col("o_custkey")).select("o_orderkey", F.col("row.c_name").alias("name"))
 
 
-@query("SELECT l_orderkey, max_by(l_linenumber, l_linenumber) AS line, count(*) > 0 AS some FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, max(l_linenumber) AS line FROM lineitem GROUP BY l_orderkey")
 def index_last(spark, sf):
     known = joins.index(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"), F.col("l_orderkey"), ["l_linenumber"])
-    return known.select(F.col("key").alias("l_orderkey"), F.col("row.l_linenumber").alias("line"), F.lit(True).alias("some"))
+    return known.select(F.col("key").alias("l_orderkey"), F.col("row.l_linenumber").alias("line"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)")
@@ -313,18 +336,18 @@ def flatten_transpose(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", columns.alias("columns"), flat.alias("flat"))
 
 
-@query("SELECT vec_id, label // 3 AS found, CASE WHEN label % 3 = 0 THEN label // 3 ELSE -2 - label // 3 END AS place FROM embeddings")
+@query("SELECT vec_id, CASE WHEN label % 3 = 0 THEN label // 3 ELSE -2 - label // 3 END AS place, CAST(len(list_filter(e, lambda x: x < 0.5)) AS INTEGER) AS below FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def binary_search(spark, sf):
     steps = F.transform(arrays.places(F.lit(100)), lambda i: i * 3)
-    label = F.col("label")
-    return table(spark, sf, "embeddings").select("vec_id", F.floor(label / 3).cast("int").alias("found"), arrays.bsearch(steps, label).alias("place"))
+    half = arrays.bsearch(arrays.sort_by(F.col("embedding").cast("array<double>")), F.lit(0.5))
+    return table(spark, sf, "embeddings").select("vec_id", arrays.bsearch(steps, F.col("label")).alias("place"), F.when(half < 0, -1 - half).otherwise(half).alias("below"))
 
 
-@query("SELECT p_partkey, p_size * (p_size - 1) // 2 AS total, list_aggregate(list_transform(range(p_size), lambda i: i * i), 'sum')::BIGINT AS squares FROM part WHERE p_size > 0")
+@query("SELECT p_partkey, p_size * (p_size - 1) // 2 AS total, coalesce(list_sum(list_transform(range(p_size), lambda i: i * i)), 0)::BIGINT AS squares FROM part")
 def array_reduce(spark, sf):
     numbers = arrays.places(F.col("p_size"))
     total = arrays.reduced(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return table(spark, sf, "part").where("p_size > 0").select("p_partkey", total.cast("int").alias("total"), arrays.reduced(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint") * x).alias("squares"))
+    return table(spark, sf, "part").select("p_partkey", total.cast("int").alias("total"), arrays.reduced(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x.cast("bigint") * x).alias("squares"))
 
 
 @query("""SELECT p_partkey, array_to_string([w[1] || '+' || y, w[1] || '-' || y, w[2] || '+' || y, w[2] || '-' || y], ' ') AS ways FROM (SELECT p_partkey, string_split(p_name, ' ') AS w, p_brand AS y FROM part)""")
@@ -382,9 +405,42 @@ def json_stream(spark, sf):
     return table(spark, sf, "events").select("event_id", F.array_join(dynamic.paths(F.col("props")), "|").alias("paths"), F.array_join(stream, "|").alias("events"), dynamic.leaf_count(F.col("props")).alias("leaves"))
 
 
-@query("SELECT event_id, '{\"k\":' || json_extract_string(props, '$.k') || '}' AS back FROM events")
+def tree(events: DataFrame) -> DataFrame:
+    """event_id and a JSON object with an array of none to three numbers and an object."""
+    numbers = F.array_join(F.transform(arrays.places(F.col("event_id") % 4), lambda i: i.cast("string")), ",")
+    return events.select("event_id", F.concat(F.lit('{"n":['), numbers, F.lit(']'), F.lit(',"t":{"x":"'), "event_type", F.lit('"}}')).alias("json"))
+
+
+#: tree() in SQL: m numbers, their paths and events as lists.
+TREE = """(SELECT event_id, event_type, m, '{"n":[' || coalesce(array_to_string(range(m), ','), '') || '],"t":{"x":"' || event_type || '"}}' AS json,
+ list_transform(range(m), lambda i: '["n",' || i || ']') AS places,
+ CASE WHEN m = 0 THEN ['[["n"],[]]'] ELSE list_append(list_transform(range(m), lambda i: '[["n",' || i || '],' || i || ']'), '[["n",' || (m - 1) || ']]') END || ['[["t","x"],"' || event_type || '"]', '[["t","x"]]', '[["t"]]'] AS stream
+ FROM (SELECT event_id, event_type, event_id % 4 AS m FROM events))"""
+
+
+@query(f"SELECT event_id, array_to_string(stream, '|') AS stream, json AS back FROM {TREE}")
 def json_from_stream(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.array_join(dynamic.fromstream(dynamic.tostream(F.col("props"))), "").alias("back"))
+    stream = dynamic.tostream(F.col("json"))
+    return tree(table(spark, sf, "events")).select("event_id", F.array_join(stream, "|").alias("stream"), F.array_join(dynamic.fromstream(stream), "").alias("back"))
+
+
+@query(f"SELECT \"at\", event, count(*) AS n FROM (SELECT CAST(unnest(range(len(stream))) AS INTEGER) AS \"at\", unnest(stream) AS event FROM {TREE}) GROUP BY ALL")
+def stream_events(spark, sf):
+    return readers.events(tree(table(spark, sf, "events"))).groupBy("at", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT event_id, coalesce(array_to_string(places, '|'), '') AS places, coalesce(array_to_string(places[2:], '|'), '') AS positive, '["t","x"]' AS strings, '["n"]|["t"]' AS tops FROM {TREE}""")
+def json_path_expressions(spark, sf):
+    j = F.col("json")
+    found = {"places": dynamic.path(j, ["n", dynamic.EACH]), "positive": dynamic.paths_where(j, lambda v: isinstance(v, int) and v > 0), "strings": dynamic.path(j, [dynamic.DEEP], lambda v: isinstance(v, str)), "tops": dynamic.path(j, [dynamic.EACH])}
+    return tree(table(spark, sf, "events")).select("event_id", *[F.array_join(x, "|").alias(n) for n, x in found.items()])
+
+
+@query(f"""SELECT event_id, CASE WHEN m > 0 THEN '0' ELSE 'null' END AS head, CASE WHEN m > 1 THEN '1' ELSE 'null' END AS second, '"' || event_type || '"' AS x, '[' || coalesce(array_to_string(range(m), ','), '') || ']' AS whole FROM {TREE}""")
+def json_destructured(spark, sf):
+    j = F.col("json")
+    rows = tree(table(spark, sf, "events")).select("event_id", dynamic.destructured(j, {"n": ["head", "second"], "t": {"x": "x"}}).alias("a"), dynamic.destructured(j, {"n": {"k": "none"}}, {"n": "whole"}).alias("b"))
+    return rows.select("event_id", "a.*", "b.whole")
 
 
 @query("""SELECT event_id, kind, row_number() OVER (ORDER BY kind, CASE WHEN kind = 3 THEN value END NULLS FIRST, CASE WHEN kind = 4 THEN event_type END NULLS FIRST, event_id) AS place
@@ -487,12 +543,18 @@ def regex_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(regex.splits(F.col("text"), "[ ,.]+")).cast("bigint").alias("parts"))
 
 
-@query("SELECT page_id, strpos(url, 'example') - 1 AS at, 7 AS n FROM pages")
+@query("SELECT page_id, strpos(url, regexp_extract(url, '[a-z]+\\.[a-z]+')) - 1 AS at, CAST(length(regexp_extract(url, '[a-z]+\\.[a-z]+')) AS INTEGER) AS n FROM pages")
 def regex_match(spark, sf):
-    m = arrays.first(regex.match(F.col("url"), "example"))
+    m = arrays.first(regex.match(F.col("url"), r"[a-z]+\.[a-z]+"))
     return table(spark, sf, "pages").select("page_id", m["offset"].cast("bigint").alias("at"), m["length"].alias("n"))
 
 
+@query("SELECT page_id, upper(url) AS loud, regexp_replace(url, '([0-9]+)', '<\\1>') AS first FROM pages")
+def regex_replaced(spark, sf):
+    u = F.col("url")
+    return table(spark, sf, "pages").select("page_id", regex.replaced(u, "(?<w>[a-z]+)", lambda c: F.upper(c["w"]), "g").alias("loud"), regex.replaced(u, "(?<n>[0-9]+)", lambda c: F.concat(F.lit("<"), c["n"], F.lit(">"))).alias("first"))
+
+
 @query("""SELECT page_id, regexp_extract(url, '([a-z]+)\\.(com|net|org)', 1) AS name, nullif(regexp_extract(url, '(com|net|org)/[a-z]*/?[0-9]*(\\.html)?', 2), '') AS ending,
  strpos(url, regexp_extract(url, '[a-z]{2}/[0-9]+', 0)) - 1 AS at, len(regexp_extract(url, '[a-z]{2}/[0-9]+', 0)) AS n FROM pages""")
 def regex_optional(spark, sf):
@@ -560,9 +622,50 @@ def conversions(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", text.alias("number"), strings.to_number(text).alias("back"), strings.to_boolean((F.col("c_nationkey") == 3).cast("string")).alias("flag"))
 
 
-@query("SELECT label, CAST(count(*) AS BIGINT) AS n, max(vec_id) AS last FROM embeddings GROUP BY label")
+@query("SELECT count(*) AS n, CAST(sum(n_nationkey) AS BIGINT) AS total, max(n_name) AS last FROM nation")
 def input_slurp(spark, sf):
-    return streams.reduce(table(spark, sf, "embeddings"), ["label"], n=F.count(F.lit(1)), last=F.max("vec_id"))
+    whole = readers.slurped(table(spark, sf, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("json")))
+    values_ = F.from_json("json", "array<struct<n_nationkey:bigint,n_name:string>>")
+    return whole.select(F.size(values_).cast("bigint").alias("n"), arrays.reduced(values_, F.lit(0).cast("bigint"), lambda s, x: s + x["n_nationkey"]).alias("total"), F.array_max(values_["n_name"]).alias("last"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_name LIKE '%9' THEN substr(c_name, 1, length(c_name) - 1) ELSE c_name END AS cut, replace(c_mktsegment, 'B', '') AS both FROM (SELECT c_custkey, c_name, CASE WHEN c_mktsegment LIKE 'B%' THEN 'B' || lower(c_mktsegment) || 'B' ELSE lower(c_mktsegment) END AS c_mktsegment FROM customer)""")
+def string_cuts(spark, sf):
+    low = F.lower("c_mktsegment")
+    marked = F.when(F.col("c_mktsegment").startswith("B"), F.concat(F.lit("B"), low, F.lit("B"))).otherwise(low)
+    return table(spark, sf, "customer").select("c_custkey", strings.rtrimstr(F.col("c_name"), "9").alias("cut"), strings.trimstr(marked, "B").alias("both"))
+
+
+@query("SELECT p_partkey, coalesce(array_to_string(range(p_size, 0, -7), ','), '') AS down, CAST(len(range(5, p_size, 3)) AS BIGINT) AS up FROM part")
+def range_steps(spark, sf):
+    size = F.col("p_size")
+    shown = F.array_join(F.transform(arrays.span(size, 0, -7), lambda x: x.cast("bigint").cast("string")), ",")
+    return table(spark, sf, "part").select("p_partkey", shown.alias("down"), F.size(arrays.span(5, size, 3)).cast("bigint").alias("up"))
+
+
+@query("SELECT n_nationkey, 'name:' || upper(n_name) || CASE WHEN n_regionkey = 0 THEN '' ELSE ',region:' || n_regionkey END AS kept, 'name,region' AS keys FROM nation")
+def map_values_kept(spark, sf):
+    m = F.create_map(F.lit("name"), F.col("n_name"), F.lit("region"), F.col("n_regionkey").cast("string"))
+    kept = objects.map_values(m, F.upper, lambda v: v != "0")
+    return table(spark, sf, "nation").select("n_nationkey", F.array_join(F.transform(objects.to_entries(kept), lambda e: F.concat_ws(":", e["key"], e["value"])), ",").alias("kept"), F.array_join(objects.keys_unsorted(m), ",").alias("keys"))
+
+
+@query("""SELECT event_id, CASE WHEN a IS NULL THEN b IS NOT NULL WHEN b IS NULL THEN false ELSE a < b END AS less, a IS NOT DISTINCT FROM b AS same FROM (SELECT event_id, nullif(event_id % 5, 0) AS a, nullif(event_id % 7, 0) AS b FROM events)""")
+def compare_values(spark, sf):
+    a, b = (F.nullif(F.col("event_id") % n, F.lit(0)) for n in (5, 7))
+    return table(spark, sf, "events").select("event_id", values.less(a, b).alias("less"), values.equal(a, b).alias("same"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT p_partkey, CAST(p_size AS BIGINT) AS value FROM part UNION ALL SELECT p_partkey, value * 3 + 1 FROM r WHERE value < 100) SELECT p_partkey, value FROM r WHERE value >= 100""")
+def until_large(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("value"))
+    return streams.until(rows, "value", lambda v: v >= 100, lambda v: v * 3 + 1)
+
+
+@query("""WITH RECURSIVE r AS (SELECT p_partkey, 0 AS level, CAST(p_size AS BIGINT) AS value FROM part WHERE p_size < 40 UNION ALL SELECT p_partkey, level + 1, value + 9 FROM r WHERE value + 9 < 40) SELECT * FROM r""")
+def while_small(spark, sf):
+    rows = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("value"))
+    return streams.while_(rows, "value", lambda v: v < 40, lambda v: v + 9).select("p_partkey", "level", "value")
 
 
 # ---- JSON of any shape ----
@@ -608,11 +711,12 @@ def json_sort_walk(spark, sf):
     return shaped(table(spark, sf, "events")).select("event_id", tags.alias("sorted"), dynamic.walk(tags, lambda v: 0 if isinstance(v, int) else v.upper() if isinstance(v, str) else v).alias("walked"))
 
 
-@query("SELECT event_id, 9::BIGINT AS paths, 6::BIGINT AS leaves, 2::BIGINT AS deep, 'object' AS kind FROM events")
+@query(f"""SELECT event_id, array_to_string(['["n"]'] || places || ['["t"]', '["t","x"]'], '|') AS paths, greatest(m, 1) + 1 AS leaves,
+ array_to_string(list_transform(list_filter(stream, lambda e: e NOT IN ('[["n"],[]]', '[["t"]]')), lambda e: '[[' || substr(e, 7)), '|') AS deep, CASE WHEN m = 0 THEN 'null' ELSE 'number' END AS kind FROM {TREE}""")
 def json_paths(spark, sf):
     j = F.col("json")
     deep = dynamic.truncate_stream(dynamic.tostream(j), 1)
-    return shaped(table(spark, sf, "events")).select("event_id", (F.size(dynamic.paths(j)) + 1).cast("bigint").alias("paths"), dynamic.leaf_count(j).alias("leaves"), F.size(F.filter(deep, lambda e: e.startswith('[["k"]'))).cast("bigint").alias("deep"), dynamic.kind(j).alias("kind"))
+    return tree(table(spark, sf, "events")).select("event_id", F.array_join(dynamic.paths(j), "|").alias("paths"), dynamic.leaf_count(j).alias("leaves"), F.array_join(deep, "|").alias("deep"), dynamic.kind(dynamic.getpath(j, ["n", 0])).alias("kind"))
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'array' ELSE 'null' END AS kind, event_id % 4 IN (2) AS iterable, event_id % 4 <> 2 AS scalar FROM events")
@@ -642,18 +746,20 @@ def add_strings(spark, sf):
     return groups.added(table(spark, sf, "customer"), ["c_mktsegment"], "c_name", ["c_custkey"], "string")
 
 
-@query("""SELECT vec_id, array_to_string(list_transform([label % 3, (label + 1) % 3, (label + 2) % 3], lambda x: CAST(x AS VARCHAR)), ',') AS numbers, '0|1|2' AS sorted, '[0][1][2]' AS groups FROM embeddings""")
+@query("""SELECT p_partkey, array_to_string(s, ' ') AS sorted, s[1] AS shortest, s[-1] AS longest, array_to_string(list_transform(list_sort(list_distinct(list_transform(w, lambda x: x[1]))), lambda k: '[' || array_to_string(list_filter(w, lambda x: x[1] = k), ',') || ']'), '') AS groups
+ FROM (SELECT p_partkey, w, list_transform(list_sort(list_transform(range(len(w)), lambda i: {'l': length(w[i + 1]), 'i': i})), lambda s: w[s.i + 1]) AS s FROM (SELECT p_partkey, string_split(p_name || ' a', ' ') AS w FROM part))""")
 def array_groups(spark, sf):
-    numbers = F.array(*[F.pmod(F.col("label") + i, F.lit(3)) for i in range(3)])
-    shown = lambda a, s: F.array_join(F.transform(a, lambda x: x.cast("string")), s)
-    grouped = F.array_join(F.transform(arrays.group_by(numbers, lambda x: x), lambda g: F.concat(F.lit("["), shown(g, ","), F.lit("]"))), "")
-    return table(spark, sf, "embeddings").select("vec_id", shown(numbers, ",").alias("numbers"), shown(arrays.sort_by(numbers), "|").alias("sorted"), grouped.alias("groups"))
+    words = strings.split(F.concat("p_name", F.lit(" a")), " ")
+    grouped = F.array_join(F.transform(arrays.group_by(words, lambda x: F.substring(x, 1, 1)), lambda g: F.concat(F.lit("["), F.array_join(g, ","), F.lit("]"))), "")
+    return table(spark, sf, "part").select("p_partkey", F.array_join(arrays.sort_by(words, F.length), " ").alias("sorted"), arrays.min_by(words, F.length).alias("shortest"), arrays.max_by(words, F.length).alias("longest"), grouped.alias("groups"))
 
 
-@query("SELECT vec_id, label + 1 AS first, '1,3,6' AS sums, 'x' AS repeated FROM embeddings WHERE label >= 0")
+@query("""SELECT vec_id, label + 1 AS first, array_to_string(list_transform(range(len(e)), lambda i: CAST(list_sum(list_transform(e[1:i + 1], lambda x: CAST(floor(x * 100) AS BIGINT))) AS BIGINT)), ',') AS sums, repeat('x', CAST(abs(label) % 3 + 1 AS INTEGER)) AS repeated
+ FROM (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)""")
 def array_running(spark, sf):
-    sums = arrays.running(F.array(F.lit(1), F.lit(2), F.lit(3)), F.lit(0), lambda s, x: s + x, "int")
-    return table(spark, sf, "embeddings").where("label >= 0").select("vec_id", arrays.first(arrays.updated(F.array("label"), lambda x: x + 1)).alias("first"), F.array_join(F.transform(sums, lambda x: x.cast("string")), ",").alias("sums"), arith.repeated(F.lit("x"), F.lit(1.5)).alias("repeated"))
+    hundredths = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.floor(x * 100))
+    sums = arrays.running(hundredths, F.lit(0), lambda s, x: s + x, "bigint")
+    return table(spark, sf, "embeddings").select("vec_id", arrays.first(arrays.updated(F.array("label"), lambda x: x + 1)).alias("first"), F.array_join(F.transform(sums, lambda x: x.cast("string")), ",").alias("sums"), arith.repeated(F.lit("x"), F.abs("label") % 3 + 1.5).alias("repeated"))
 
 
 @query("SELECT o_orderkey, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS s, strftime(o_orderdate, '%d/%m/%Y %H:%M:%S') AS text FROM orders")
@@ -668,10 +774,10 @@ def time_local(spark, sf):
     return table(spark, sf, "events").select("event_id", times.strflocaltime(s, "%H:%M", "Asia/Tokyo").alias("tokyo"), times.localtime(s, "Asia/Tokyo")[3].cast("int").alias("h"))
 
 
-@query("SELECT p_partkey, round(exp2(p_size / 10), 6) AS e2, round(pow(10, p_size / 50), 6) AS e10, false AS infinite, true AS finite FROM (SELECT *, pow(2, p_size / 10) AS e2x FROM part)".replace("exp2(p_size / 10)", "e2x"))
+@query("SELECT p_partkey, round(exp2(p_size / 10), 6) AS e2, round(pow(10, p_size / 50), 6) AS e10, p_size >= 26 AS infinite, p_size < 26 AS finite FROM (SELECT *, pow(2, p_size / 10) AS e2x FROM part)".replace("exp2(p_size / 10)", "e2x"))
 def math_powers(spark, sf):
     x = F.col("p_size")
-    return table(spark, sf, "part").select("p_partkey", F.round(maths.exp2(x / 10), 6).alias("e2"), F.round(maths.exp10(x / 50), 6).alias("e10"), maths.is_infinite(x.cast("double")).alias("infinite"), maths.is_finite(x.cast("double")).alias("finite"))
+    return table(spark, sf, "part").select("p_partkey", F.round(maths.exp2(x / 10), 6).alias("e2"), F.round(maths.exp10(x / 50), 6).alias("e10"), maths.is_infinite(maths.exp2(x * 40)).alias("infinite"), maths.is_finite(maths.exp2(x * 40)).alias("finite"))
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS files, bool_and(ok) AS ok FROM (SELECT DISTINCT true AS ok FROM nation)")

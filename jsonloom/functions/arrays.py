@@ -8,6 +8,8 @@ from functools import reduce as fold
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from jsonloom.functions.values import let
+
 
 def at(a: Column, i: Column | int) -> Column:
     """Element i, from the end if negative, cut to an integer; null outside."""
@@ -80,42 +82,41 @@ def joined(a: Column) -> Column:
     return F.when(F.size(a) == 0, None).otherwise(F.array_join(a, "", ""))
 
 
-def _ranked(a: Column, key: Callable[[Column], Column]) -> Column:
-    return F.transform(a, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"), x.alias("value")))
+def _order(a: Column, key: Callable[[Column], Column]) -> Column:
+    """Keys with their places, in order; null first."""
+    return F.array_sort(F.transform(a, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"))))
 
 
-def sort_by(a: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
-    """Stable; null first."""
-    return F.transform(F.array_sort(_ranked(a, key), _by_key), lambda x: x["value"])
+def _starts(order: Column) -> Column:
+    """Where a key begins in keys that are in order."""
+    return F.filter(places(F.size(order)), lambda i: (i == 0) | ~F.get(order, i)["key"].eqNullSafe(F.get(order, i - 1)["key"]))
 
 
-def _by_key(x: Column, y: Column) -> Column:
-    low = lambda p, q: p["key"].isNull() & q["key"].isNotNull() | (p["key"] < q["key"])
-    return F.when(F.coalesce(low(x, y), F.lit(False)), -1).when(F.coalesce(low(y, x), F.lit(False)), 1).otherwise(x["at"] - y["at"])
+def sort_by(a: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
+    """Stable; null first."""
+    return F.transform(_order(a, key), lambda o: F.get(a, o["at"]))
 
 
 def unique_by(a: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
     """Sorted by key, the first of each key."""
-    ordered = F.array_sort(_ranked(a, key), _by_key)
-    kept = F.filter(ordered, lambda x, i: (i == 0) | ~F.coalesce(x["key"].eqNullSafe(F.get(ordered, i - 1)["key"]), F.lit(False)))
-    return F.transform(kept, lambda x: x["value"])
+    return let(_order(a, key), lambda order: F.transform(_starts(order), lambda i: F.get(a, F.get(order, i)["at"])))
 
 
 def min_by(a: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
     """The first of the least; null for none."""
-    return F.get(F.array_sort(_ranked(a, key), _by_key), F.lit(0))["value"]
+    return F.get(a, F.array_min(F.transform(a, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"))))["at"])
 
 
 def max_by(a: Column, key: Callable[[Column], Column] = lambda x: x) -> Column:
     """The last of the greatest; null for none."""
-    return F.try_element_at(F.array_sort(_ranked(a, key), _by_key), F.lit(-1))["value"]
+    return F.get(a, F.array_max(F.transform(a, lambda x, i: F.struct(key(x).alias("key"), i.alias("at"))))["at"])
 
 
 def group_by(a: Column, key: Callable[[Column], Column]) -> Column:
     """Arrays of the elements of each key, in order of the keys; members keep their order."""
-    ordered = F.array_sort(_ranked(a, key), _by_key)
-    keys = F.transform(F.filter(ordered, lambda x, i: (i == 0) | ~F.coalesce(x["key"].eqNullSafe(F.get(ordered, i - 1)["key"]), F.lit(False))), lambda x: x["key"])
-    return F.transform(keys, lambda k: F.transform(F.filter(ordered, lambda x: x["key"].eqNullSafe(k)), lambda x: x["value"]))
+    ends = lambda order, starts, j: F.coalesce(F.get(starts, j + 1), F.size(order))
+    of = lambda order, starts: F.transform(starts, lambda i, j: F.transform(F.slice(order, i + 1, ends(order, starts, j) - i), lambda o: F.get(a, o["at"])))
+    return let(_order(a, key), lambda order: let(_starts(order), lambda starts: of(order, starts)))
 
 
 def reversed_(a: Column) -> Column:

@@ -12,11 +12,16 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
+
+#: Steps of path(): each child of a value; a value and all below it.
+EACH, DEEP = ("each",), ("deep",)
+KINDS = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "bigint": pa.int64(), "boolean": pa.bool_()}
+_WRITER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
 
 
 def _dump(x) -> str:
-    return json.dumps(x, ensure_ascii=False, separators=(",", ":"))
+    return _WRITER.encode(x)
 
 
 def _number(text: str):
@@ -27,9 +32,12 @@ def _number(text: str):
     return int(value) if value == value and value == int(value) and abs(value) < 1e17 else value
 
 
+_READER = json.JSONDecoder(parse_float=_number, parse_constant=lambda name: None if name == "NaN" else _number(name))
+
+
 def _load(text: str):
     """A JSON value; NaN, which has no JSON text, is null."""
-    return json.loads(text, parse_float=_number, parse_constant=lambda name: None if name == "NaN" else _number(name))
+    return _READER.decode(text)
 
 
 def _children(x):
@@ -100,8 +108,24 @@ def _flat(x: list, depth: int) -> list:
     return [y for v in x for y in (_flat(v, depth - 1) if isinstance(v, list) and depth else [v])]
 
 
-def _mapped(f, returns: str):
-    return pandas_udf(lambda s: s.map(lambda v: None if v is None else f(_load(v))), returns)
+def _mapped(f, returns: str, kind: pa.DataType | None = None):
+    """f on the value of each JSON text; equal texts of an Arrow batch are read once. f must not change its value."""
+    kind = kind or KINDS[returns]
+
+    def over(texts: pa.Array) -> pa.Array:
+        coded = texts.dictionary_encode()
+        return pa.array([f(_load(v)) for v in coded.dictionary.to_pylist()], kind).take(coded.indices)
+
+    return arrow_udf(over, returns)
+
+
+def _listed(f):
+    """f on the JSON values of each array of texts."""
+
+    def over(lists: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(_load(f"[{','.join(v)}]")) for v in lists.to_pylist()], KINDS["array<string>"])
+
+    return arrow_udf(over, "array<string>")
 
 
 def paths(x: Column) -> Column:
@@ -109,25 +133,83 @@ def paths(x: Column) -> Column:
     return _mapped(lambda v: [_dump(p) for p in _paths(v, [])], "array<string>")(x)
 
 
+def paths_where(x: Column, holds) -> Column:
+    """The paths below the root of values that `holds`, a function of a Python value, is true for."""
+    return _mapped(lambda v: [_dump(p) for p in _paths(v, []) if holds(_get(v, p))], "array<string>")(x)
+
+
+def _reached(x, steps: list, path: list):
+    """(path, value) of what a path expression names."""
+    if not steps:
+        yield path, x
+        return
+    step, rest = steps[0], steps[1:]
+    if step in (EACH, DEEP):
+        if step == DEEP:
+            yield from _reached(x, rest, path)
+        elif not isinstance(x, (list, dict)):
+            raise ValueError(f"Cannot iterate over {_kind(x)}")
+        for key, child in _children(x):
+            yield from _reached(child, steps if step == DEEP else rest, [*path, key])
+        return
+    if x is not None and not isinstance(x, dict if isinstance(step, str) else list):
+        raise ValueError(f"Cannot index {_kind(x)} with {'number' if not isinstance(step, str) else _dump(step)}")
+    yield from _reached(_get(x, [step]), rest, [*path, step])
+
+
+def path(x: Column, steps: list, holds=None) -> Column:
+    """The paths that a path expression names, whether there is a value or not: steps are keys, places, EACH and DEEP. With `holds`
+    only those whose value it is true for. Raises where a step doesn't fit the kind of a value."""
+    return _mapped(lambda v: [_dump(p) for p, found in _reached(v, steps, []) if holds is None or holds(found)], "array<string>")(x)
+
+
+def _names(pattern) -> list[str]:
+    return [pattern] if isinstance(pattern, str) else [n for p in (pattern if isinstance(pattern, list) else pattern.values()) for n in _names(p)]
+
+
+def _bind(x, pattern, found: dict) -> None:
+    if isinstance(pattern, str):
+        found[pattern] = _dump(x)
+        return
+    if x is not None and not isinstance(x, type(pattern)):
+        raise ValueError(f"Cannot index {_kind(x)} with {'number' if isinstance(pattern, list) else _dump(next(iter(pattern), ''))}")
+    for key, below in _children(pattern):
+        _bind(_get(x, [key]), below, found)
+
+
+def destructured(x: Column, *patterns) -> Column:
+    """A struct of the JSON texts that a pattern binds. A pattern is a name, a list of patterns for the places of an array, or a
+    dict of patterns for the keys of an object; what is missing is "null". The first pattern that fits the kinds of the values
+    counts, names of the others are "null"; raises where none fits."""
+    names = list(dict.fromkeys(n for p in patterns for n in _names(p)))
+
+    def bound(v):
+        for pattern in patterns:
+            found = dict.fromkeys(names, "null")
+            try:
+                _bind(v, pattern, found)
+                return found
+            except ValueError:
+                if pattern is patterns[-1]:
+                    raise
+
+    fields = ",".join(f"`{n}`:string" for n in names)
+    return _mapped(bound, f"struct<{fields}>", pa.struct([(n, pa.string()) for n in names]))(x)
+
+
 def tostream(x: Column) -> Column:
     return _mapped(lambda v: [_dump(e) for e in _events(v, [])], "array<string>")(x)
 
 
 def fromstream(events: Column) -> Column:
     """The values that an array of events spells."""
-    return pandas_udf(lambda s: s.map(lambda v: None if v is None else [_dump(y) for y in _from_events([_load(e) for e in v])]), "array<string>")(events)
+    return _listed(lambda v: [_dump(y) for y in _from_events(v)])(events)
 
 
 def truncate_stream(events: Column, depth: int) -> Column:
     """Events without the first `depth` steps of their paths; those with no more steps go."""
 
-    def cut(v):
-        if v is None:
-            return None
-        parsed = [_load(e) for e in v]
-        return [_dump([e[0][depth:], *e[1:]]) for e in parsed if len(e[0]) > depth]
-
-    return pandas_udf(lambda s: s.map(cut), "array<string>")(events)
+    return _listed(lambda v: [_dump([e[0][depth:], *e[1:]]) for e in v if len(e[0]) > depth])(events)
 
 
 def sort(x: Column) -> Column:
@@ -251,7 +333,10 @@ def pick(x: Column, paths_: list[list]) -> Column:
 
 def merge(x: Column, y: Column) -> Column:
     """Objects merged at every level, y's values winning."""
-    return pandas_udf(lambda s, t: s.combine(t, lambda a, b: None if a is None or b is None else _dump(_merge(_load(a), _load(b)))), "string")(x, y)
+    def over(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([None if a is None or b is None else _dump(_merge(_load(a), _load(b))) for a, b in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.string())
+
+    return arrow_udf(over, "string")(x, y)
 
 
 def contains(x: Column, y) -> Column:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jsonloom.functions import maths
+
 
 def error(message: Column | str, kind: str = "string") -> Column:
     """Ends the query with a message, wherever a row gets here."""
@@ -22,6 +24,21 @@ def attempt(tried: Column, handler: Column, failed: Column) -> Column:
     return F.when(F.coalesce(failed, F.lit(False)), handler).otherwise(tried)
 
 
+def debug(df: DataFrame, to, *measures: Column) -> DataFrame:
+    """The same rows; aggregates over them go to an Observation (or a name, for a listener) once they have been read."""
+    return df.observe(to, *measures)
+
+
+def finites(x: Column) -> Column:
+    """x where it is neither an infinity nor NaN."""
+    return F.when(maths.is_finite(x) & ~maths.is_nan(x), x)
+
+
+def normals(x: Column) -> Column:
+    """x where it is no zero, subnormal, infinity or NaN."""
+    return F.when(maths.is_normal(x), x)
+
+
 def environment(*names: str) -> Column:
     """The driver's environment variables of these names as a map, null where one is not set."""
     return F.create_map(*[x for n in names for x in (F.lit(n), F.lit(os.environ.get(n)).cast("string"))])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from jsonloom.functions.values import number_text
 
@@ -44,22 +43,15 @@ def shell_line(values: Column) -> Column:
 
 
 def base64(s: Column) -> Column:
-    return F.regexp_replace(F.base64(s.cast("binary")), "[\r\n]", "")
+    return F.replace(F.base64(s.cast("binary")), F.lit("\r\n"), F.lit(""))
 
 
 def base64d(s: Column) -> Column:
-    """Decoded up to the first =; missing padding is accepted and bad UTF-8 is replaced. One character left over is an error."""
-    import base64 as codec
-
-    def decode(s):
-        if s is None:
-            return None
-        s = s.split("=")[0]
-        if len(s) % 4 == 1:
-            raise ValueError(f"{s} is not valid base64 data")
-        return codec.b64decode(s + "=" * (-len(s) % 4)).decode("utf-8", "replace")
-
-    return pandas_udf(lambda values: values.map(decode), "string")(s)
+    """Decoded up to the first =; missing padding is accepted and bad UTF-8 is replaced. Other characters than those of the alphabet,
+    and one character left over, are errors."""
+    text = F.substring_index(s, "=", 1)
+    bad = F.regexp_like(text, F.lit("[^A-Za-z0-9+/]")) | (F.length(text) % 4 == 1)
+    return F.when(bad, F.raise_error(F.concat(F.lit("string ("), s, F.lit(") is not valid base64 data"))).cast("string")).otherwise(F.make_valid_utf8(F.unbase64(text).cast("string")))
 
 
 def csv_cell(x: Column, kind: str) -> Column:

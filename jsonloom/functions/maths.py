@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 #: Functions of one number under the name that Spark has for them.
 UNARY = {
@@ -119,24 +122,27 @@ def modf(x: Column) -> Column:
     return F.array(F.when(F.abs(x) == INFINITE, F.lit(0.0)).otherwise(x - trunc(x)), trunc(x))
 
 
-def _batched(function, error=NAN):
-    def safe(*args):
-        if any(a is None for a in args):
-            return None
-        try:
-            return float(function(*args))
-        except (ValueError, OverflowError):
-            return error
+def special(name: str, *args: Column) -> Column:
+    """gamma (the logarithm), lgamma, tgamma, erf, erfc, nextafter, nexttoward, fma, j0, j1, jn, y0, y1, yn; null for null."""
 
-    return safe
+    def over(*columns):
+        some = pc.and_(columns[0].is_valid(), columns[-1].is_valid()) if len(columns) < 3 else pc.and_(pc.and_(columns[0].is_valid(), columns[1].is_valid()), columns[2].is_valid())
+        given = [c.filter(some).to_numpy(zero_copy_only=False) for c in columns]
+        found = BATCHED[name](*given) if name in BATCHED else np.array([_value(name, *row) for row in zip(*(g.tolist() for g in given), strict=True)])
+        out = np.zeros(len(some))
+        out[some.to_numpy(zero_copy_only=False)] = found
+        return pa.array(out, pa.float64(), mask=pc.invert(some).to_numpy(zero_copy_only=False))
 
+    takes = {1: lambda x: over(x), 2: lambda x, y: over(x, y), 3: lambda x, y, z: over(x, y, z)}[len(args)]
+    takes.__annotations__ = dict.fromkeys([*"xyz"[: len(args)], "return"], pa.Array)
+    return arrow_udf(takes, "double")(*[a.cast("double") for a in args])
 
-def special(name: str, *args: Column) -> Column:
-    """gamma (the logarithm), lgamma, tgamma, erf, erfc, nextafter, nexttoward, fma, j0, j1, jn, y0, y1, yn."""
-    function = _batched(SPECIAL[name], INFINITE if "gamma" in name else NAN)
-    if len(args) == 1:
-        return pandas_udf(lambda x: x.map(function), "double")(args[0].cast("double"))
-    return pandas_udf(_many(function), "double")(F.struct(*[a.cast("double").alias(f"a{i}") for i, a in enumerate(args)]))
+
+def _value(name: str, *args: float) -> float:
+    try:
+        return SINGLE[name](*args)
+    except (ValueError, OverflowError):
+        return INFINITE if "gamma" in name else NAN
 
 
 def lgamma_r(x: Column) -> Column:
@@ -146,34 +152,66 @@ def lgamma_r(x: Column) -> Column:
     return F.when(x.isNotNull(), F.array(special("lgamma", x), F.when(negative, -1.0).otherwise(1.0)))
 
 
-def _many(function):
-    import pandas as pd
-
-    def apply(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([function(*row) for row in frame.itertuples(index=False)])
-
-    apply.__annotations__ = {"frame": pd.DataFrame, "return": pd.Series}
-    return apply
-
-
-def bessel_j(n: int, x: float, steps: int = 2000) -> float:
-    """Bessel's integral, by the trapezoid rule, which is exact to rounding for a periodic integrand."""
-    steps = max(steps, 4 * int(abs(x)) + 4 * abs(int(n)))
-    return sum(math.cos(n * t - x * math.sin(t)) for t in (math.pi * (i + 0.5) / steps for i in range(steps))) / steps
-
-
-def bessel_y(n: int, x: float, steps: int = 4000) -> float:
-    """Bessel's second integral: midpoint sums of both of its parts."""
-    if x <= 0:
-        return -INFINITE if x == 0 else NAN
-    steps = max(steps, 8 * int(x))
-    first = sum(math.sin(x * math.sin(t) - n * t) for t in (math.pi * (i + 0.5) / steps for i in range(steps))) / steps
-    top = math.asinh(750 / x) if x < 750 else 1.0
-    width, second = top / (steps * 8), 0.0
-    for i in range(steps * 8):
-        t = (i + 0.5) * width
-        second += (math.exp(n * t - x * math.sinh(t)) + (-1) ** n * math.exp(-n * t - x * math.sinh(t))) * width
-    return first - second / math.pi
+def _by_series(n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """J and Y of order n for moderate x > 0: a recurrence down the orders gives J, Neumann's series Y of orders 0 and 1."""
+    order, here, norm, even, odd, wanted, one = 0, 1, 2, 3, 4, 5, 6
+    state = np.zeros((7, len(x)))
+    state[here] = 1e-200
+    for k in range(int(max(x.max(), n) + 12 * x.max() ** (1 / 3) + 40) | 1, -1, -1):
+        half, sign = k // 2, -1 if k // 2 % 2 else 1
+        if k % 2 == 0:
+            state[norm] += state[here] * (2 if k else 1)
+            state[even] += state[here] * (sign / half if k else 0)
+        elif half:
+            state[odd] += state[here] * (sign * k / (half * (half + 1)))
+        if k == n:
+            state[wanted] = state[here]
+        if k == 1:
+            state[one] = state[here]
+        if k:
+            state[order], state[here] = state[here].copy(), 2 * k / x * state[here] - state[order]
+            state *= np.where(np.abs(state[here]) > 1e200, 1e-200, 1.0)
+    state /= state[norm].copy()
+    log = np.log(x / 2) + np.euler_gamma
+    y, above = 2 / np.pi * (log * state[here] - 2 * state[even]), 2 / np.pi * (-state[here] / x + (log - 1) * state[one] - state[odd])
+    for k in range(1, n + 1):
+        y, above = above, 2 * k / x * above - y
+    return state[wanted], y
+
+
+def _far(n: int, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """J and Y of order n for x far above the order's square, by Hankel's expansion."""
+    p, q, term = np.ones_like(x), np.zeros_like(x), np.ones_like(x)
+    for k in range(1, 16):
+        term = term * (4 * n * n - (2 * k - 1) ** 2) / (8 * k * x)
+        if k % 2:
+            q += term * (-1 if k % 4 == 3 else 1)
+        else:
+            p += term * (-1 if k % 4 == 2 else 1)
+    angle, size = n % 4 * np.pi / 2 + np.pi / 4, np.sqrt(2 / (np.pi * x))
+    c, s = np.cos(x) * np.cos(angle) + np.sin(x) * np.sin(angle), np.sin(x) * np.cos(angle) - np.cos(x) * np.sin(angle)
+    return size * (p * c - q * s), size * (p * s + q * c)
+
+
+def bessel(n: np.ndarray, x: np.ndarray, second: bool) -> np.ndarray:
+    """J, or with `second` Y, of whole orders n at x: NaN for Y below zero."""
+    out = np.full(len(x), NAN)
+    with np.errstate(all="ignore"):
+        for order in np.unique(np.trunc(n[np.isfinite(n)])).astype(int):
+            m, mine = abs(int(order)), np.trunc(n) == order
+            size = np.abs(x)
+            flip = -1.0 if order < 0 and m % 2 else 1.0
+            signs = np.full(len(x), flip) if second else np.where((x < 0) & (m % 2 == 1), -flip, flip)
+            for which, f in (
+                (size == INFINITE, lambda m, v: (np.zeros_like(v), np.zeros_like(v))),
+                ((size >= max(60, 2 * m * m)) & (size < INFINITE), _far),
+                ((size >= 1e-8) & (size < max(60, 2 * m * m)), _by_series),
+                (size < 1e-8, lambda m, v: ((v / 2) ** m / math.gamma(m + 1) if m < 170 else v * 0, 2 / np.pi * (np.log(v / 2) + np.euler_gamma) if m == 0 else -(math.gamma(m) if m < 170 else INFINITE) / np.pi * (2 / v) ** m)),
+            ):
+                at = np.flatnonzero(mine & which & ~((x < 0) & second))
+                if len(at):
+                    out[at] = f(m, size[at])[second] * signs[at]
+    return out
 
 
 def tgamma(x: float) -> float:
@@ -183,12 +221,27 @@ def tgamma(x: float) -> float:
     return NAN if x < 0 and x == math.floor(x) else math.gamma(x)
 
 
-SPECIAL = {
-    "gamma": math.lgamma, "lgamma": math.lgamma, "tgamma": tgamma, "erf": math.erf, "erfc": math.erfc, "nextafter": math.nextafter, "nexttoward": math.nextafter, "fma": math.fma,
-    "j0": lambda x: bessel_j(0, x), "j1": lambda x: bessel_j(1, x), "jn": lambda n, x: bessel_j(int(n), x), "y0": lambda x: bessel_y(0, x), "y1": lambda x: bessel_y(1, x), "yn": lambda n, x: bessel_y(int(n), x),
+#: Functions of numbers, and of numpy arrays.
+SINGLE = {"gamma": math.lgamma, "lgamma": math.lgamma, "tgamma": tgamma, "erf": math.erf, "erfc": math.erfc, "fma": math.fma}
+BATCHED = {
+    "nextafter": np.nextafter, "nexttoward": np.nextafter, "j0": lambda x: bessel(np.zeros_like(x), x, False), "j1": lambda x: bessel(np.ones_like(x), x, False), "jn": lambda n, x: bessel(n, x, False),
+    "y0": lambda x: bessel(np.zeros_like(x), x, True), "y1": lambda x: bessel(np.ones_like(x), x, True), "yn": lambda n, x: bessel(n, x, True),
 }
 
 
+def drem(x: Column, y: Column) -> Column:
+    return remainder(x, y)
+
+
+def scalb(x: Column, n: Column) -> Column:
+    """x by two to the power of n."""
+    return ldexp(x, n)
+
+
+def scalbln(x: Column, n: Column) -> Column:
+    return ldexp(x, trunc(n))
+
+
 def is_infinite(x: Column) -> Column:
     return F.coalesce(F.abs(x) == INFINITE, F.lit(False))
 

@@ -6,12 +6,15 @@ Flags: g all matches, i ignore case, x extended, s none, n no empty matches, l a
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from jsonloom.functions.values import let
+
 POSIX = {"alpha": r"\p{IsAlphabetic}", "digit": r"\p{IsDigit}", "alnum": r"\p{IsAlphabetic}\p{IsDigit}", "upper": r"\p{IsUppercase}", "lower": r"\p{IsLowercase}", "space": r"\s", "punct": r"\p{IsPunctuation}", "cntrl": r"\p{Cntrl}", "xdigit": "0-9A-Fa-f", "word": r"\w", "blank": r" \t"}
 REFUSED = [r"\(\?~", r"\(\*", r"\\g<", r"\\k<[^>]*[+-]\d", r"\(\?\("]
 
@@ -106,6 +109,20 @@ def sub(s: Column, pattern: str, replacement: str, flags: str = "") -> Column:
     return F.regexp_replace(s, F.lit(rf"(?s:\A(?<before0>.*?))(?<match0>{java})(?s:(?<after0>.*)\z)"), F.lit("${before0}" + _template(replacement) + "${after0}"))
 
 
+def replaced(s: Column, pattern: str, f: Callable[[Column], Column], flags: str = "") -> Column:
+    """The first match, or with the flag g every match, put in place of what f makes of its named groups, a struct; a group that took
+    no part is null, and a null result ends as null."""
+    named = [(i, name) for i, name in enumerate(groups(pattern)) if name]
+
+    def put(matches: Column) -> Column:
+        ends = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(matches, i - 1)["offset"] + F.get(matches, i - 1)["length"])
+        made = lambda m: f(F.struct(*[m["captures"][i]["string"].alias(name) for i, name in named]) if named else F.lit(None))
+        parts = F.transform(matches, lambda m, i: F.concat(F.substr(s, ends(i) + 1, m["offset"] - ends(i)), made(m)))
+        return F.concat(F.aggregate(parts, F.lit(""), lambda out, part: F.concat(out, part)), F.substr(s, ends(F.size(matches)) + 1))
+
+    return let(match(s, pattern, flags), put)
+
+
 MATCH = "array<struct<offset:int,length:int,string:string,captures:array<struct<offset:int,length:int,string:string,name:string>>>>"
 
 

@@ -5,11 +5,12 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from test_queries import SF, TABLES
 
 from jsonloom import catalog
-from jsonloom.functions import dynamic, maths, regex, times
+from jsonloom.functions import dynamic, errors, formats, maths, regex, times
 from jsonloom.operators import groups, streams
 
 
@@ -85,8 +86,10 @@ def test_math_special(spark, duck, wide):
     assert len(got) == len(want) and all(same_size(got[i][0], sized(g)) and same_size(got[i][1], x) for i, g, x in want)
     found = {r.event_id: (r.g, r.l) for r in catalog.QUERIES["math_special"](spark, wide[0]).collect()}
     for i, v in wide[1].items():
-        if v is None or (v < -10 and v % 10 == 0):  # null, and the poles below zero, where Arrow's NaN is null
-            assert found[i][0] is None and found[i][1] == (None if v is None else math.inf)
+        if v is None:
+            assert found[i] == (None, None)
+        elif v < -10 and v % 10 == 0:  # the poles below zero
+            assert math.isnan(found[i][0]) and found[i][1] == math.inf
         else:
             x = v / 10 + 1
             g = math.inf if x == 0 or x > 171.6 else math.gamma(x)
@@ -150,6 +153,60 @@ def test_regex_groups_and_classes(spark):
     assert [tuple(x) for x in df.select(regex.capture(F.lit("a1b2"), "(?<l>[a-z])(?<d>[0-9])", "g").alias("c")).first().c] == [("a", "1"), ("b", "2")]
 
 
+def test_bessel_everywhere(spark):
+    x = [1e-9, 1e-3, 0.5, 3.0, 17.2, 59.9, 60.1, 250.0, 1e6]
+    df = spark.createDataFrame([(v,) for v in [*x, 0.0, -2.0, math.inf, None]], "x double")
+    names = ["j0", "j1", "y0", "y1"]
+    got = {r.x: r for r in df.select("x", *[maths.special(n, F.col("x")).alias(n) for n in names], maths.special("yn", F.lit(3.0), F.col("x")).alias("y3"), maths.special("jn", F.lit(-3.0), F.col("x")).alias("j3")).collect()}
+    for v in x:
+        r = got[v]  # the Wronskian of both kinds
+        assert math.isclose((r.j1 * r.y0 - r.j0 * r.y1) * math.pi * v / 2, 1, rel_tol=1e-9)
+    assert math.isclose(got[3.0].y3, -0.5385416161050318, rel_tol=1e-12) and math.isclose(got[3.0].j3, -0.30906272225525164, rel_tol=1e-12)
+    assert tuple(got[0.0])[1:] == (1.0, 0.0, -math.inf, -math.inf, -math.inf, 0.0)
+    assert math.isclose(got[-2.0].j1, -0.5767248077568734, rel_tol=1e-12) and math.isnan(got[-2.0].y0)
+    assert (got[math.inf].j0, got[math.inf].y1) == (0, 0) and tuple(got[None])[1:] == (None,) * 6
+
+
+def test_paths_and_patterns(spark):
+    j = '{"a":[1,{"b":null}],"c":"x"}'
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(dynamic.path(F.lit(j), ["a", dynamic.EACH])) == ['["a",0]', '["a",1]']
+    assert one(dynamic.path(F.lit(j), ["z", "y"])) == ['["z","y"]']
+    assert one(dynamic.path(F.lit(j), [dynamic.DEEP], lambda v: isinstance(v, (int, str)))) == ['["a",0]', '["c"]']
+    assert one(dynamic.path(F.lit("null"), [])) == ["[]"]
+    assert one(dynamic.paths_where(F.lit(j), lambda v: v is None)) == ['["a",1,"b"]']
+    for steps in (["c", "d"], ["c", 0], ["z", dynamic.EACH]):
+        with pytest.raises(Exception, match="Cannot"):
+            one(dynamic.path(F.lit(j), steps))
+    assert one(dynamic.destructured(F.lit("[1,[2]]"), ["a", ["b", "c"]])).asDict() == {"a": "1", "b": "2", "c": "null"}
+    assert one(dynamic.destructured(F.lit("[[3]]"), [["a"]], ["a", "b"])).asDict() == {"a": "3", "b": "null"}
+    assert one(dynamic.destructured(F.lit("[3]"), {"k": "a"}, [["b"]], ["c"])).asDict() == {"a": "null", "b": "null", "c": "3"}
+    assert one(dynamic.destructured(F.lit("null"), {"k": ["a"]})).asDict() == {"a": "null"}
+    with pytest.raises(Exception, match="Cannot index number"):
+        one(dynamic.destructured(F.lit("3"), {"k": "a"}, ["b"]))
+
+
+def test_replaced_and_base64(spark):
+    df = spark.createDataFrame([("😀foo bar",), ("",), ("zz",), (None,)], "s string")
+    f = lambda c: F.concat(F.lit("<"), F.upper(F.coalesce(c["v"], F.lit("-"))), F.lit(">"))
+    got = {r.s: (r.a, r.b) for r in df.select("s", regex.replaced(F.col("s"), "[b-df-hj-np-tv-z](?<v>[aeiou])?", f, "g").alias("a"), regex.replaced(F.col("s"), "(?<v>[a-z])", f).alias("b")).collect()}
+    assert got["😀foo bar"] == ("😀<O>o <A><->", "😀<F>oo bar") and got["zz"] == ("<-><->", "<Z>z") and got[""] == ("", "") and got[None] == (None, None)
+    for text, want in (("YQ", "a"), ("YWI=", "ab"), ("", ""), ("=", ""), ("/w==", "\ufffd"), ("4pi6", "☺")):
+        assert df.limit(1).select(formats.base64d(F.lit(text)).alias("x")).first().x == want
+    for text in ("Not base64 data", "YWJjZ", "a"):
+        with pytest.raises(Exception, match="is not valid base64 data"):
+            df.limit(1).select(formats.base64d(F.lit(text)).alias("x")).collect()
+
+
+def test_number_selectors_and_debug(spark):
+    df = spark.createDataFrame([(v,) for v in [0.0, 1.5, 5e-324, math.inf, math.nan, None]], "x double")
+    seen = Observation("seen")
+    rows = errors.debug(df, seen, F.count("x").alias("n"), F.max("x").alias("most"))
+    got = rows.select(errors.finites(F.col("x")).alias("f"), errors.normals(F.col("x")).alias("n")).collect()
+    assert [r.f for r in got] == [0.0, 1.5, 5e-324, None, None, None] and [r.n for r in got] == [None, 1.5, None, None, None, None]
+    assert seen.get["n"] == 5
+
+
 def test_numbers_of_json_text(spark):
     df = spark.createDataFrame([("[1e2,1.10,1e400,-1e400,NaN,1.5,100000000000000000000]",)], "j string")
     assert df.select(dynamic.flatten(F.col("j")).alias("x")).first().x == "[100,1.1,1.7976931348623157e+308,-1.7976931348623157e+308,null,1.5,100000000000000000000]"
