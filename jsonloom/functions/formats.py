@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jsonloom.functions.values import number_text
+from jsonloom.functions.values import let, number_text
 
 #: What HTML and TSV text is escaped with, in this order.
 HTML = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("'", "&apos;"), ('"', "&quot;")]
@@ -49,9 +49,16 @@ def base64(s: Column) -> Column:
 def base64d(s: Column) -> Column:
     """Decoded up to the first =; missing padding is accepted and bad UTF-8 is replaced. Other characters than those of the alphabet,
     and one character left over, are errors."""
-    text = F.substring_index(s, "=", 1)
-    bad = F.regexp_like(text, F.lit("[^A-Za-z0-9+/]")) | (F.length(text) % 4 == 1)
-    return F.when(bad, F.raise_error(F.concat(F.lit("string ("), s, F.lit(") is not valid base64 data"))).cast("string")).otherwise(F.make_valid_utf8(F.unbase64(text).cast("string")))
+
+    def decoded(text: Column) -> Column:
+        size = F.length(text)
+        # bytes are missing where white space was skipped
+        good = lambda found: (size % 4 != 1) & (F.octet_length(found) == F.floor(size * 3 / 4))
+        error = F.raise_error(F.concat(F.lit("string ("), text, F.lit(") is not valid base64 data"))).cast("string")
+        padded = F.concat(text, F.repeat(F.lit("="), F.pmod(-size, F.lit(4))))
+        return let(F.try_to_binary(padded, F.lit("base64")), lambda found: F.when(text.isNull() | F.coalesce(good(found), F.lit(False)), F.make_valid_utf8(found.cast("string"))).otherwise(error))
+
+    return let(F.substring_index(s, "=", 1), decoded)
 
 
 def csv_cell(x: Column, kind: str) -> Column:

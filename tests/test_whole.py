@@ -193,7 +193,7 @@ def test_replaced_and_base64(spark):
     assert got["😀foo bar"] == ("😀<O>o <A><->", "😀<F>oo bar") and got["zz"] == ("<-><->", "<Z>z") and got[""] == ("", "") and got[None] == (None, None)
     for text, want in (("YQ", "a"), ("YWI=", "ab"), ("", ""), ("=", ""), ("/w==", "\ufffd"), ("4pi6", "☺")):
         assert df.limit(1).select(formats.base64d(F.lit(text)).alias("x")).first().x == want
-    for text in ("Not base64 data", "YWJjZ", "a"):
+    for text in ("Not base64 data", "YWJjZ", "a", "YWJj ZGVm", "YW JjYQ", "YWJ\n", "é234", " "):
         with pytest.raises(Exception, match="is not valid base64 data"):
             df.limit(1).select(formats.base64d(F.lit(text)).alias("x")).collect()
 
