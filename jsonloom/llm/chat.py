@@ -9,19 +9,25 @@ LAYOUTS, which says declaratively how its fields become canonical (role, text) t
 with one backslash put inside any control string in a role or text, so that the output can be parsed back exactly.
 
 Defined results: a null role or text is empty; a record whose paths match no layout, or without turns, has layout null
-and no output turns; repeated rows count as turns of their own; turns with equal numbers are ordered by role, then text.
-A conversation is one value in the output and so must fit in one row (2 GB).
+and no output turns; records that share an id, or are alike, each become a chat of their own; in the query, which gathers rows by
+turn, repeated rows count as turns of their own, and turns with equal numbers are ordered by role, then text. A null id stays null;
+an empty table gives no rows; columns that no layout names are not read, so their names can't clash. A conversation is one value in
+the output and so must fit in one row (2 GB), however long its texts are or many its turns.
 """
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from jsonloom.functions.values import let
+
 OPEN, SPLIT, CLOSE = "[INST]", "[/INST]", "</s>"
+#: Turns whose lengths are added one by one.
+BLOCK = 256
 #: A control string, perhaps with backslashes inside from an earlier escape.
 CONTROL = r"(</?|\[/?)(\\*)(s>|INST\])"
 ESCAPED = r"(</?|\[/?)\\(\\*)(s>|INST\])"
@@ -93,9 +99,9 @@ def canonical_turns(records: DataFrame, record_id: str, layouts: list[dict] = LA
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for layout in layouts:
         if (made := _turns(layout, fields)) is not None:
-            fits = F.col("fingerprint") == fingerprint(layout_paths(layout))
+            fits = F.col("__fingerprint") == fingerprint(layout_paths(layout))
             name, turns = F.when(fits, F.lit(layout["name"])).otherwise(name), F.when(fits, made).otherwise(turns)
-    return records.withColumn("fingerprint", print_).select(F.col(f"`{record_id}`").alias("record_id"), name.alias("layout"), turns.alias("turns"))
+    return records.withColumn("__fingerprint", print_).select(F.col(f"`{record_id}`").alias("record_id"), name.alias("layout"), turns.alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -106,17 +112,39 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, ESCAPED, "$1$2$3")
 
 
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda s, x: s + x)
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of the numbers before each. Sums of whole blocks come first, so that many turns don't cost their square."""
+    block = F.lit(BLOCK)
+
+    def summed(n: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(n) - 1, F.lit(0)), block)
+        sums = F.transform(firsts, lambda i: _sum(F.slice(n, i + 1, BLOCK)))
+        heads = let(sums, lambda s: F.transform(s, lambda _, i: _sum(F.slice(s, F.lit(1), i))))
+        return let(heads, lambda h: F.transform(n, lambda _, i: F.get(h, F.floor(i / block).cast("int")) + _sum(F.slice(n, F.floor(i / block).cast("int") * block + 1, i % block))))
+
+    return let(lengths, summed)
+
+
 def formatted(canonical: DataFrame) -> DataFrame:
-    """record_id, formatted text, and for each turn its start, and the start and length of what the loss covers (in code points)."""
-    turns = canonical.select("record_id", F.posexplode("turns").alias("at", "turn")).select(
-        "record_id", "at", F.col("turn.role").alias("role"), escaped(F.col("turn.role")).alias("r"), escaped(F.col("turn.text")).alias("t")
-    )
-    turns = turns.select("record_id", "at", F.concat(F.lit(OPEN), "r", F.lit(SPLIT), "t", F.lit(CLOSE)).alias("segment"), (F.length("r") + len(OPEN + SPLIT)).cast("long").alias("head"), F.when(F.col("role") == "assistant", F.length("t")).otherwise(0).cast("long").alias("loss"))
-    before = Window.partitionBy("record_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    turns = turns.withColumn("start", F.coalesce(F.sum(F.length("segment").cast("long")).over(before), F.lit(0)))
-    mask = F.struct("at", "segment", F.struct("start", (F.col("start") + F.col("head")).alias("loss_start"), F.col("loss").alias("loss_length")).alias("mask"))
-    sorted_ = turns.groupBy("record_id").agg(F.array_sort(F.collect_list(mask)).alias("s"))
-    return sorted_.select("record_id", F.array_join(F.col("s.segment"), "").alias("formatted"), F.col("s.mask").alias("masks"))
+    """record_id, formatted text, and for each turn its start, and the start and length of what the loss covers (in code points).
+    Each record is formatted in its row; nothing is shuffled."""
+
+    def segment(x: Column) -> Column:
+        text = F.concat(F.lit(OPEN), x["r"], F.lit(SPLIT), x["t"], F.lit(CLOSE))
+        return F.struct(text.alias("segment"), (F.length(x["r"]) + len(OPEN + SPLIT)).cast("long").alias("head"), F.when(x["role"] == "assistant", F.length(x["t"])).otherwise(0).cast("long").alias("loss"))
+
+    def chat(segments: Column) -> Column:
+        starts = _starts(F.transform(segments, lambda x: F.length(x["segment"]).cast("long")))
+        masks = F.zip_with(segments, starts, lambda x, start: F.struct(start.alias("start"), (start + x["head"]).alias("loss_start"), x["loss"].alias("loss_length")))
+        return F.struct(F.array_join(segments["segment"], "").alias("formatted"), masks.alias("masks"))
+
+    escaped_ = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), escaped(F.coalesce(x["role"], F.lit(""))).alias("r"), escaped(F.coalesce(x["text"], F.lit(""))).alias("t")))
+    made = canonical.where(F.size("turns") > 0).select("record_id", let(F.transform(escaped_, segment), chat).alias("__chat"))
+    return made.select("record_id", "__chat.formatted", "__chat.masks")
 
 
 def parsed(chats: DataFrame) -> DataFrame:

@@ -32,6 +32,26 @@ def test_layouts(spark):
     assert chat.formatted(chat.canonical_turns(records, "id")).count() == 3
 
 
+def test_records_of_one_id_and_clashing_names(spark):
+    records = spark.createDataFrame([(1, "p", "c", "x"), (1, "q", "d", "x"), (1, "p", "c", "x"), (None, "n", "", "y")], "fingerprint long, prompt string, completion string, layout string")
+    found = chat.parsed(chat.formatted(chat.canonical_turns(records, "fingerprint"))).collect()
+    assert sorted((str(r.record_id), [t.text for t in r.turns], r.loss_texts) for r in found) == [("1", ["p", "c"], ["", "c"]), ("1", ["p", "c"], ["", "c"]), ("1", ["q", "d"], ["", "d"]), ("None", ["n", ""], ["", ""])]
+    assert chat.formatted(chat.canonical_turns(records.limit(0), "fingerprint")).count() == 0
+
+
+def test_many_turns(spark):
+    turns = [("user" if i % 2 else "assistant", "😀" * (i % 7) + "</s>" * (i % 3)) for i in range(20_000)]
+    made = chat.formatted(spark.createDataFrame([(1, "m", turns), (2, "m", turns[:257]), (3, "m", turns[:256]), (4, "m", turns[:1])], f"record_id long, layout string, turns {chat.TURNS}"))
+    for r in chat.parsed(made).join(made.select("record_id", "masks"), "record_id").collect():
+        want = turns[: len(r.turns)]
+        assert [tuple(t) for t in r.turns] == want and r.loss_texts == [t if role == "assistant" else "" for role, t in want]
+        at = 0
+        for (role, _), m, piece in zip(want, r.masks, r.formatted.split(chat.CLOSE), strict=False):
+            assert m.start == at and m.loss_start == at + len(chat.OPEN + role + chat.SPLIT)
+            at += len(piece) + len(chat.CLOSE)
+        assert at == len(r.formatted)
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert [r.conv_id for r in chat.digests(none).collect()] == [-1]
