@@ -55,9 +55,13 @@ def gmtime(s: Column) -> Column:
 
 def _gmtime(s: Column) -> Column:
     whole = F.when(s < 0, F.ceil(s)).otherwise(F.floor(s))
-    day, rest = F.floor(whole / 86400), F.pmod(whole, F.lit(86400))
-    date = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int"))
-    parts = [F.year(date), F.month(date) - 1, F.dayofmonth(date), F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60 + (s - F.floor(s)), F.dayofweek(date) - 1, F.dayofyear(date) - 1]
+    date = F.date_add(epoch(), F.floor(whole / 86400).cast("int"))
+    return let(F.struct(date.alias("date"), F.pmod(whole, F.lit(86400)).alias("rest"), (s - F.floor(s)).alias("part")), _broken)
+
+
+def _broken(t: Column) -> Column:
+    date, rest = t["date"], t["rest"]
+    parts = [F.year(date), F.month(date) - 1, F.dayofmonth(date), F.floor(rest / 3600), F.floor(rest % 3600 / 60), rest % 60 + t["part"], F.dayofweek(date) - 1, F.dayofyear(date) - 1]
     return F.array(*[p.cast("double") for p in parts])
 
 
